@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import sharding, url_lists
+from shelfmark.llm import fertility, sharding, spiece, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether decoding them gives its text again."""
+    return spiece.encode(_table(spark, sf_dir, "documents"), check=True)
+
+
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return fertility.quality(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document under the rebalanced map."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -28,7 +38,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every capture, with the list entry that was active when it was fetched."""
     out = url_lists.filter_captures(captures(spark, sf_dir), url_lists.entries(spark))
-    return out.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_s"), "blocked", "kind", "pattern", F.unix_seconds("listed_at").alias("listed_s"))
+    return out.select("page_id", "url", F.unix_seconds("fetched_at").alias("fetched_s"), "blocked", "kind", "pattern", F.coalesce(F.unix_seconds("listed_at"), F.lit(-1)).alias("listed_s"))
 
 
 OP10_SQL = """
@@ -44,14 +54,14 @@ caps AS (SELECT page_id, url, (1672531200 + (page_id * 7919 % 365) * 86400 + pag
 hits AS (SELECT page_id, min(struct_pack(at_s := at_s, kind := kind, pattern := pattern)) AS hit FROM caps JOIN spans
          ON ((kind = 'domain' AND (host = pattern OR ends_with(host, '.' || pattern))) OR (kind = 'url' AND path = pattern))
          AND fetched_s >= at_s AND (to_s IS NULL OR fetched_s < to_s) GROUP BY page_id)
-SELECT caps.page_id, caps.url, fetched_s, hit IS NOT NULL AS blocked, hit.kind AS kind, hit.pattern AS pattern, hit.at_s AS listed_s
+SELECT caps.page_id, caps.url, fetched_s, hit IS NOT NULL AS blocked, hit.kind AS kind, hit.pattern AS pattern, coalesce(hit.at_s, -1)::BIGINT AS listed_s
 FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 """.replace("{values}", ", ".join(str(x) for x in url_lists.ENTRIES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op3_sentencepiece": op3_sentencepiece, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
