@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fertility, sharding, spiece, url_lists
+from shelfmark.llm import fertility, langid, ngram_join, sharding, spiece, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near documents."""
+    out = ngram_join.near_pairs(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+      ELSE [array_to_string(ws, ' ')] END)) AS s FROM w WHERE len(ws) > 0),
+r AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS rep FROM g),
+copies AS (SELECT DISTINCT rep AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM r WHERE doc_id <> rep),
+one AS (SELECT DISTINCT rep AS id, len(s) AS n, s FROM r WHERE rep = doc_id),
+x AS (SELECT id, n, unnest(s) AS gram FROM one),
+p AS (SELECT l.id AS a, r.id AS b, any_value(l.n) AS na, any_value(r.n) AS nb, count(*) AS shared FROM x l JOIN x r ON l.gram = r.gram AND l.id < r.id GROUP BY 1, 2),
+near AS (SELECT a, b, shared / (na + nb - shared) AS jaccard FROM p WHERE shared >= 0.5 * (na + nb - shared))
+SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM (SELECT * FROM copies UNION ALL SELECT * FROM near)
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text again."""
     return spiece.encode(_table(spark, sf_dir, "documents"), check=True)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and whether it is accepted."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return fertility.quality(_table(spark, sf_dir, "documents"))
@@ -61,9 +86,9 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op3_sentencepiece": op3_sentencepiece, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op3_sentencepiece": op3_sentencepiece, "op5_language_id": op5_language_id, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express."""
-    return {"op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op10_url_filter": OP10_SQL}
