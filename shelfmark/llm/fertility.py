@@ -57,7 +57,7 @@ def _ranks(path: str):
 
 #: Token counts of words seen by this worker, by vocabulary; emptied when it holds SEEN words.
 _seen: dict[str, dict[bytes, int]] = {}
-SEEN = 1 << 19
+SEEN = 1 << 18
 
 
 def _token_counts(path: str, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _measured(batch: pa.RecordBatch, text: int, lang: int, pieces: str, ranks: str) -> Iterator[tuple[int, int, dict[str, np.ndarray], list[str]]]:
     data, offsets = textbuf.column(batch.column(text))
     langs = batch.column(lang).to_pylist()
-    for i, j in textbuf.chunks(offsets, 2 * textbuf.CHUNK):
+    for i, j in textbuf.chunks(offsets):
         part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         m = measure_texts(part, local, pieces, ranks)
         blank = np.bincount(np.searchsorted(local, np.flatnonzero(part > 0x20), side="right") - 1, minlength=j - i) == 0

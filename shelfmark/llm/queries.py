@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fertility, langid, ngram_join, sharding, spiece, url_lists
+from shelfmark.llm import fertility, langid, ngram_join, pii, sharding, spiece, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode(_table(spark, sf_dir, "documents"), check=True)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, redacted, with its spans."""
+    return pii.redact(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, and whether it is accepted."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -86,7 +91,7 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op1_ngram_join": op1_ngram_join, "op3_sentencepiece": op3_sentencepiece, "op5_language_id": op5_language_id, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:

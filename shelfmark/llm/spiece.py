@@ -81,7 +81,7 @@ class Vocabulary:
                         lowered[part] = True
         at = np.argsort(np.array(keys, np.int64), kind="stable")
         self.lowered = lowered
-        self.bits = 22
+        self.bits = 20
         self._fill(np.array(keys, np.int64)[at], np.array(merged, np.int32)[at], np.array(rank, np.int32)[at])
         text = [b"" if p.type not in (NORMAL, BYTE) else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace("▁", " ").encode() for p in proto.pieces]
         for i, p in enumerate(proto.pieces):
@@ -319,7 +319,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, check: bool) -
     for batch in batches:
         data, offsets = textbuf.column(batch.column(1))
         null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        for i, j in textbuf.chunks(offsets, 2 * textbuf.CHUNK):
+        for i, j in textbuf.chunks(offsets):
             part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             flat, count = encode_texts(v, part, local)
             ends = np.r_[0, np.cumsum(count)].astype(np.int32)
