@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fertility, langid, ngram_join, pii, sharding, spiece, url_lists
+from shelfmark.llm import fertility, langid, ngram_join, packing, pii, sharding, spiece, topk, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM (SELECT * FROM copies UNION AL
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placement of every conversation in packs."""
+    return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text again."""
     return spiece.encode(_table(spark, sf_dir, "documents"), check=True)
@@ -49,6 +54,20 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every embedding."""
+    out = topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.select(F.col("query").alias("vec_id"), "rank", F.col("id").alias("neighbour_id"), F.round("score", 6).alias("score"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+s AS (SELECT q.vec_id, c.vec_id AS neighbour_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM s)
+SELECT vec_id, rank::INTEGER AS rank, neighbour_id, round(score, 6) AS score FROM r WHERE rank <= 10
+"""
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return fertility.quality(_table(spark, sf_dir, "documents"))
@@ -91,9 +110,9 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op1_ngram_join": op1_ngram_join, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express."""
-    return {"op1_ngram_join": OP1_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_topk": OP6_SQL, "op10_url_filter": OP10_SQL}
