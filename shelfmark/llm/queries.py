@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fertility, langid, ngram_join, packing, pii, sharding, spiece, topk, url_lists
+from shelfmark.llm import fertility, langid, ngram_join, packing, pii, secret_scan, sharding, spiece, topk, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, scored."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), everything=True)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document under the rebalanced map."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,7 +115,7 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op8_secret_scan": op8_secret_scan, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
