@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import textbuf
@@ -127,29 +127,34 @@ def _lists(column: pa.Array, dtype: type = np.int64) -> tuple[np.ndarray, np.nda
 WIDE = 512
 
 
-def _needed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of (key, band, id, size, keys) sorted by key: the (key, id) that have a partner whose first common band this is."""
+def _needed(batches: Iterator[pa.RecordBatch], threshold: float, bands: int) -> Iterator[pa.RecordBatch]:
+    """Of (key, band, id, size, bands, keys) sorted by key: the (key, id) that have a partner whose first common band this is.
+
+    ``bands`` and ``keys`` are those of a document that other documents have as well.
+    """
     for batch, starts in groups(batches, "key"):
+        n = batch.num_rows
         size = batch.column("size").to_numpy()
         band = batch.column("band").to_numpy()
         flat, at = _lists(batch.column("keys"))
-        keys = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat
-        del at
-        use = np.zeros(batch.num_rows, bool)
+        which, _ = _lists(batch.column("bands"))
+        keys = -1 - np.arange(n * bands, dtype=np.int64).reshape(n, bands)  # unlike each other
+        keys[np.repeat(np.arange(n), np.diff(at)), which] = flat
+        use = np.zeros(n, bool)
         count = np.diff(starts)
         pairs = starts[:-1][count == 2]
         if len(pairs):
             b = band[pairs]
-            met = (keys[pairs] == keys[pairs + 1]) & (np.arange(keys.shape[1]) < b[:, None])
+            met = (keys[pairs] == keys[pairs + 1]) & (np.arange(bands) < b[:, None])
             low, high = np.minimum(size[pairs], size[pairs + 1]), np.maximum(size[pairs], size[pairs + 1])
             good = ~met.any(1) & (low >= threshold * high)
             use[pairs[good]] = use[pairs[good] + 1] = True
         for g in np.flatnonzero(count > 2):
             i, j = int(starts[g]), int(starts[g + 1])
-            b, own, n = int(band[i]), keys[i:j], size[i:j]
+            b, own, n_ = int(band[i]), keys[i:j], size[i:j]
             for lo in range(0, j - i, WIDE):
                 part = slice(lo, min(lo + WIDE, j - i))
-                fresh = np.minimum(n[part, None], n) >= threshold * np.maximum(n[part, None], n)
+                fresh = np.minimum(n_[part, None], n_) >= threshold * np.maximum(n_[part, None], n_)
                 for k in range(b):
                     fresh &= own[part, k, None] != own[:, k]
                 fresh[np.arange(part.stop - lo), np.arange(lo, part.stop)] = False
@@ -289,11 +294,13 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = sig.select("f1", "f2", "size", "id").join(first.select("f1", "f2", "size", "rep"), ["f1", "f2", "size"]).where(F.col("id") != F.col("rep"))
     copies = member.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
 
-    spread = first.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("id"), "size", "keys")
-    # only keys that several documents have go on, found on the keys alone
-    busy = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    routed = spread.join(busy, "key", "left_semi").select("key", "band", "id", "size", "keys").repartition("key").sortWithinPartitions("key")
-    needed = written(routed.mapInArrow(lambda it: _needed(it, threshold), f"key bigint, id {kind}"), "routes")
+    spread = first.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("id"), "size")
+    # only keys that several documents have go on; of the others' bands none can be common to two
+    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    held = shared.groupBy("id", "size").agg(F.collect_list("band").alias("bands"), F.collect_list("key").alias("keys"))
+    routed = held.select("id", "size", "bands", "keys", F.explode(F.arrays_zip("bands", "keys")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.bands").alias("band"), "id", "size", "bands", "keys")
+    routed = routed.repartition("key").sortWithinPartitions("key")
+    needed = written(routed.mapInArrow(lambda it: _needed(it, threshold, bands), f"key bigint, id {kind}"), "routes")
     sets = base.join(needed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
     sets = sets.mapInArrow(lambda it: _grams(it, n), f"id {kind}, grams binary")
     trees = needed.join(sets, "id").select("key", "id", "grams").repartition("key").sortWithinPartitions("key")
