@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where ``written`` notes its tables, within ``tables_noted``.
+_noting: list[str] | None = None
+
+
+@contextmanager
+def tables_noted(into: list[str]) -> Iterator[None]:
+    """The paths that ``written`` uses meanwhile are added to a list."""
+    global _noting
+    before, _noting = _noting, into
+    try:
+        yield
+    finally:
+        _noting = before
+
+
+def drop_tables(paths: list[str], reader: DataFrame) -> None:
+    """Delete these tables, and take them off the list, but for those that ``reader`` still reads."""
+    if not paths:
+        return
+    spark = reader.sparkSession
+    files = " ".join(reader.inputFiles())
+    for path in [p for p in paths if os.path.basename(p) not in files]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        paths.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if _noting is not None:
+        _noting.append(path)
     return spark.read.schema(df.schema).parquet(path)
