@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+#: Bytes taken at once. The int64 arrays over them are some thirty times as large, in each of an executor's workers.
+CHUNK = 1 << 20
 WINDOW = 1 << 20
 
 _rng = np.random.default_rng(20240229)
