@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from shelfmark.llm import spiece, textbuf
 from shelfmark.session import written
@@ -239,16 +240,31 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def kept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pieces: str = PIECES, ranks: str = RANKS, k: float = K) -> DataFrame:
-    """The rows that no rule rejects, with all their columns. The texts are measured twice and never shuffled."""
-    table = band_table(measure(docs.select(F.lit(0).alias("doc_id"), text_col, lang_col), "doc_id", text_col, lang_col, pieces, ranks))
-    names = docs.columns
+    """The rows that no rule rejects, with all their columns.
+
+    Each text is measured once: the rows are written beside their measures, then read for bands and
+    verdicts; no row is shuffled. The added columns get a prefix that no column of docs has.
+    """
+    names, prefix = docs.columns, "m_"
+    while any(c.lower().startswith(prefix) for c in names):
+        prefix += "_"
     at_text, at_lang = names.index(text_col), names.index(lang_col)
+    added = ["grp", "tokens", *MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, m, grp in _measured(batch, at_text, at_lang, pieces, ranks):
-                keep = np.array([not w for w in reasons(m, grp, table, k)], bool)
-                yield batch.slice(i, j - i).filter(pa.array(keep))
+                columns = [pa.array(grp, pa.string()), pa.array(m["tokens"], pa.int64()), *(pa.array(m[c], pa.float64(), from_pandas=True) for c in MEASURES)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *columns], names=[*names, *(prefix + c for c in added)])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType([*docs.schema.fields, *(StructField(prefix + c, t) for c, t in zip(added, [StringType(), LongType(), *[DoubleType()] * len(MEASURES)], strict=True))])
+    beside = written(docs.mapInArrow(run, schema), "measured")
+    table = band_table(beside.select(*[F.col(prefix + c).alias(c) for c in added]))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = {c: batch.column(prefix + c).to_numpy(zero_copy_only=False) for c in added[1:]}
+            keep = np.array([not w for w in reasons(m, batch.column(prefix + "grp").to_pylist(), table, k)], bool)
+            yield batch.select(names).filter(pa.array(keep))
 
+    return beside.mapInArrow(sift, docs.schema)
