@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm import textbuf
+from shelfmark.llm import bloom, textbuf
 from shelfmark.session import written
 
 N = 3
@@ -256,8 +256,23 @@ def tree_pairs(flat: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.n
     return i[good], j[good], shared[good]
 
 
-def _joined(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of (key, id, grams) sorted by key: the verified pairs of each tree."""
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The places of pairs that connect all that the pairs (i, j) of n rows connect: one fewer than each component has rows."""
+    root = list(range(n))
+    keep = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], threshold: float, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Of (key, id, grams) sorted by key: the verified pairs of each tree, or with ``spanning`` a forest of them."""
     for batch, starts in groups(batches, "key"):
         raw = batch.column("grams").cast(pa.large_binary())
         _, offs, data = raw.buffers()
@@ -268,6 +283,9 @@ def _joined(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             if b - a > 1:
                 i, j, shared = tree_pairs(flat[at[a] : at[b]], at[a : b + 1] - at[a], threshold)
                 sizes = np.diff(at[a : b + 1])
+                if spanning:
+                    some = forest(i, j, b - a)
+                    i, j, shared = i[some], j[some], shared[some]
                 lo.append(i + a)
                 hi.append(j + a)
                 sim.append(shared / (sizes[i] + sizes[j] - shared))
@@ -281,8 +299,8 @@ def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([ids, pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "grams"])
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """All pairs of near documents: a, b, jaccard, with a < b.
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, spanning: bool = False) -> DataFrame:
+    """All pairs of near documents: a, b, jaccard, with a < b. With ``spanning`` only as many of them as connect the same groups.
 
     Copies (equal sets) appear as pairs with the least id of their group; of the other similar pairs,
     those of the least ids of two groups.
@@ -301,10 +319,11 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     routed = held.select("id", "size", "bands", "keys", F.explode(F.arrays_zip("bands", "keys")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.bands").alias("band"), "id", "size", "bands", "keys")
     routed = routed.repartition("key").sortWithinPartitions("key")
     needed = written(routed.mapInArrow(lambda it: _needed(it, threshold, bands), f"key bigint, id {kind}"), "routes")
-    sets = base.join(needed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
+    ids = needed.select("id").distinct()
+    sets = base.where(bloom.maybe_in(ids, F.col("id"))).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
     sets = sets.mapInArrow(lambda it: _grams(it, n), f"id {kind}, grams binary")
     trees = needed.join(sets, "id").select("key", "id", "grams").repartition("key").sortWithinPartitions("key")
-    near = trees.mapInArrow(lambda it: _joined(it, threshold), f"a {kind}, b {kind}, jaccard double")
+    near = trees.mapInArrow(lambda it: _joined(it, threshold, spanning), f"a {kind}, b {kind}, jaccard double")
     near = near.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
     return copies.unionByName(near).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
@@ -332,10 +351,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows of a null id and texts without words are kept; equal rows of one id are one.
     """
-    heads = components(near_pairs(docs, id_col, text_col, n, threshold, bands))
+    heads = components(near_pairs(docs, id_col, text_col, n, threshold, bands, spanning=True))
     gone = heads.where("id != head").select(F.col("id").alias(id_col))
     repeated = docs.groupBy(id_col).count().where(f"count > 1 AND {id_col} IS NOT NULL").select(id_col).join(gone, id_col, "left_anti")
     repeated = written(repeated, "repeated")
-    once = docs.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    rest = docs.join(gone.unionByName(repeated), id_col, "left_anti")
-    return rest.select(docs.columns).unionByName(once.select(docs.columns))
+    leaving = gone.unionByName(repeated)
+    # texts that can't leave aren't shuffled
+    doubtful = F.coalesce(bloom.maybe_in(leaving, F.col(id_col)), F.lit(False))
+    free, held = docs.where(~doubtful), docs.where(doubtful)
+    once = held.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    rest = held.join(leaving, id_col, "left_anti")
+    return free.unionByName(rest.select(docs.columns)).unionByName(once.select(docs.columns))
