@@ -19,7 +19,7 @@ RECORD = T.StructType(
     ]
 )
 FIELDS = ["name", "file", "line", "signature", "docstring", "lang", "qualname"]
-SHAPE = "struct<params:array<string>,returns:string,has_return_hint:boolean>"
+SHAPE = T.StructType([T.StructField("params", T.ArrayType(T.StringType())), T.StructField("returns", T.StringType()), T.StructField("has_return_hint", T.BooleanType())])
 SOURCE = "path string, content string"
 SNAPSHOT = "path string, mtime_ns bigint, size bigint"
 #: Version of the stored index, and of the documents the commands emit.
