@@ -104,20 +104,20 @@ class Model:
         self.tables = [self._table(Automaton(texts[x])) for x in self.langs]
 
     def _table(self, automaton: Automaton) -> np.ndarray:
-        """(state, symbol) -> next state's row, doubled, plus 1 where a phrase ends before the symbol."""
+        """(state, symbol) -> next state's row, times 4, plus the phrases that begin: 1 where one ends before the symbol, 2 where the symbol is also one by itself."""
         w = self.width
         root = np.ones(w, np.int64)  # unseen at the root: a phrase of its own, and the root again
         root[0] = 0
         for b, to in automaton.next[0].items():
-            root[self.symbol[b]] = to * w << 1
-        broken = root | 1
+            root[self.symbol[b]] = to * w << 2
+        broken = np.where(root == 1, 2, root | 1)
         table = np.tile(broken, (len(automaton.next), 1))
         table[0] = root
         for state, edges in enumerate(automaton.next):
             if state:
-                table[state, 0] = state * w << 1
+                table[state, 0] = state * w << 2
             for b, to in edges.items():
-                table[state, self.symbol[b]] = to * w << 1
+                table[state, self.symbol[b]] = to * w << 2
         return table.astype(np.int32).ravel()
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -147,8 +147,8 @@ class Model:
                 s = state[:k]
                 s += sym
                 v = table[s]
-                count[:k] += v & 1
-                np.right_shift(v, 1, out=s)
+                count[:k] += v & 3
+                np.right_shift(v, 2, out=s)
         for x, count in enumerate(counts):
             out[:, x] = np.bincount(row, weights=count, minlength=n)
         return out
