@@ -211,7 +211,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _load(key: str, holder: object) -> Model:
     return pickle.loads(holder.value)
 
