@@ -12,8 +12,9 @@ similarity s meets in some tree with probability 1 - (1 - s^2)^BANDS: 0.990 at t
 0.5, 0.998 at 0.6, 0.99998 at 0.7. That is the only approximation; within a tree no pair is
 lost, no tree has a bound on its members, and reported similarities are exact.
 
-Documents of equal sets are joined before: each is paired with the one of least id among them,
-which alone goes on to the trees, so thousands of copies cost one row each.
+Documents of equal sets are joined before, and the one of least id among them alone goes on to the
+trees, so thousands of copies cost one row each there. ``near_pairs`` pairs each copy with that one
+only; ``all_pairs`` gives the pairs of all members.
 
 Defined cases: texts without words (null, empty, punctuation) are in no pair; a text of fewer
 than n words is one gram, all of its words; a null id is left out; repeated rows are one; one id
@@ -76,6 +77,12 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
             yield batch.column(0).slice(i, j - i), list(gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n))
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set, which with its size stand for the set."""
+    one = np.array([np.add.reduce(g) for g in sets], np.uint64).view(np.int64)
+    return one, np.array([np.add.reduce(textbuf.mix(g ^ _B[255])) for g in sets], np.uint64).view(np.int64)
+
+
 def signatures(base: DataFrame, n: int, bands: int) -> DataFrame:
     """(id, text) to id, size, fingerprint of the set (two numbers), keys; texts without words are left out."""
 
@@ -84,8 +91,7 @@ def signatures(base: DataFrame, n: int, bands: int) -> DataFrame:
             has = np.array([len(g) > 0 for g in sets], bool)
             sets = [g for g in sets if len(g)]
             size = np.array([len(g) for g in sets], np.int32)
-            one = np.array([np.add.reduce(g) for g in sets], np.uint64).view(np.int64)
-            two = np.array([np.add.reduce(textbuf.mix(g ^ _B[255])) for g in sets], np.uint64).view(np.int64)
+            one, two = fingerprints(sets)
             keys = np.array([band_keys(g, bands) for g in sets], np.uint64).reshape(len(sets), bands).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), pa.array(size), pa.array(one), pa.array(two), lists], names=["id", "size", "f1", "f2", "keys"])
@@ -271,8 +277,11 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _joined(batches: Iterator[pa.RecordBatch], threshold: float, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Of (key, id, grams) sorted by key: the verified pairs of each tree, or with ``spanning`` a forest of them."""
+def _joined(batches: Iterator[pa.RecordBatch], threshold: float, spanning: bool, of_sets: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of (key, id, grams) sorted by key: the verified pairs of each tree, or with ``spanning`` a forest of them.
+
+    With ``of_sets`` the pairs are of fingerprints and sizes in place of ids.
+    """
     for batch, starts in groups(batches, "key"):
         raw = batch.column("grams").cast(pa.large_binary())
         _, offs, data = raw.buffers()
@@ -289,7 +298,13 @@ def _joined(batches: Iterator[pa.RecordBatch], threshold: float, spanning: bool)
                 lo.append(i + a)
                 hi.append(j + a)
                 sim.append(shared / (sizes[i] + sizes[j] - shared))
-        if lo:
+        if lo and of_sets:
+            i, j = np.concatenate(lo), np.concatenate(hi)
+            rows, place = np.unique(np.r_[i, j], return_inverse=True)
+            prints = (*fingerprints([flat[at[k] : at[k + 1]] for k in rows.tolist()]), np.diff(at)[rows].astype(np.int32))
+            columns = [pa.array(x[side]) for side in (place[: len(i)], place[len(i) :]) for x in prints]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(sim), pa.float64())], names=["a1", "a2", "an", "b1", "b2", "bn", "jaccard"])
+        elif lo:
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(lo))), ids.take(pa.array(np.concatenate(hi))), pa.array(np.concatenate(sim), pa.float64())], names=["a", "b", "jaccard"])
 
@@ -299,19 +314,16 @@ def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([ids, pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "grams"])
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, spanning: bool = False) -> DataFrame:
-    """All pairs of near documents: a, b, jaccard, with a < b. With ``spanning`` only as many of them as connect the same groups.
-
-    Copies (equal sets) appear as pairs with the least id of their group; of the other similar pairs,
-    those of the least ids of two groups.
-    """
+def _signed(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as (id, text), their signatures, and of each group of equal sets the least id and its keys."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    kind = base.schema["id"].dataType.simpleString()
     sig = written(signatures(base, n, bands), "signatures")
-    first = sig.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    member = sig.select("f1", "f2", "size", "id").join(first.select("f1", "f2", "size", "rep"), ["f1", "f2", "size"]).where(F.col("id") != F.col("rep"))
-    copies = member.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    return base, sig, sig.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
 
+
+def _trees(base: DataFrame, first: DataFrame, n: int, threshold: float, bands: int) -> DataFrame:
+    """The documents of least id of their group, routed to the trees: key, id, grams, sorted by key."""
+    kind = base.schema["id"].dataType.simpleString()
     spread = first.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("id"), "size")
     # only keys that several documents have go on; of the others' bands none can be common to two
     shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
@@ -322,12 +334,47 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = needed.select("id").distinct()
     sets = base.where(bloom.maybe_in(ids, F.col("id"))).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
     sets = sets.mapInArrow(lambda it: _grams(it, n), f"id {kind}, grams binary")
-    trees = needed.join(sets, "id").select("key", "id", "grams").repartition("key").sortWithinPartitions("key")
-    near = trees.mapInArrow(lambda it: _joined(it, threshold, spanning), f"a {kind}, b {kind}, jaccard double")
+    return needed.join(sets, "id").select("key", "id", "grams").repartition("key").sortWithinPartitions("key")
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, spanning: bool = False) -> DataFrame:
+    """Pairs of near documents: a, b, jaccard, with a < b. With ``spanning`` only as many of them as connect the same groups.
+
+    Copies (equal sets) appear as pairs with the least id of their group; of the other similar pairs,
+    those of the least ids of two groups. ``all_pairs`` has the others too.
+    """
+    base, sig, first = _signed(docs, id_col, text_col, n, bands)
+    kind = base.schema["id"].dataType.simpleString()
+    member = sig.select("f1", "f2", "size", "id").join(first.select("f1", "f2", "size", "rep"), ["f1", "f2", "size"]).where(F.col("id") != F.col("rep"))
+    copies = member.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    near = _trees(base, first, n, threshold, bands).mapInArrow(lambda it: _joined(it, threshold, spanning), f"a {kind}, b {kind}, jaccard double")
     near = near.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
     return copies.unionByName(near).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """All pairs of near documents, copies and near copies of copies included: a, b, jaccard, with a < b.
+
+    The trees find the near pairs of distinct sets; each then stands for the pairs of all documents that
+    have the one set with all that have the other. The result of a group of m copies is m (m - 1) / 2 rows.
+    """
+    base, sig, first = _signed(docs, id_col, text_col, n, bands)
+    sets = "a1 bigint, a2 bigint, an int, b1 bigint, b2 bigint, bn int, jaccard double"
+    near = _trees(base, first, n, threshold, bands).mapInArrow(lambda it: _joined(it, threshold, False, of_sets=True), sets)
+    # each pair of sets once, whichever trees it met in and in whichever order
+    swap = F.struct("b1", "b2", "bn") < F.struct("a1", "a2", "an")
+    sides = [F.when(swap, F.col(f"{y}{k}")).otherwise(F.col(f"{x}{k}")).alias(f"{x}{k}") for x, y in ("ab", "ba") for k in "12n"]
+    near = near.where("a1 != b1 OR a2 != b2 OR an != bn").select(*sides, "jaccard").distinct()
+    many = sig.groupBy("f1", "f2", "size").agg(F.count("*").alias("m")).where("m > 1")
+    own = sig.select("f1", "f2", "size", "id").distinct()
+    left, right = (own.select(F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"), F.col("size").alias(f"{x}n"), F.col("id").alias(x)) for x in "ab")
+    held = own.join(many.select("f1", "f2", "size"), ["f1", "f2", "size"], "left_semi")
+    copies = held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), ["f1", "f2", "size"]).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    near = near.join(left, ["a1", "a2", "an"]).join(right, ["b1", "b2", "bn"]).where("a != b")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    return copies.unionByName(near).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """Connected components of pairs (a, b): id, head, the least id of the component.
 

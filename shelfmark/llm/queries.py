@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near documents."""
+    """Pairs of near documents, copies with the least id of their group only."""
     out = ngram_join.near_pairs(_table(spark, sf_dir, "documents"))
     return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
 
@@ -34,6 +34,22 @@ SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM (SELECT * FROM copies UNION AL
 """
 
 
+def op1_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near documents, those of copies and of their near copies included."""
+    out = ngram_join.all_pairs(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
+
+
+OP1_ALL_SQL = OP1_SQL[: OP1_SQL.index("r AS (")] + r"""d AS (SELECT DISTINCT doc_id AS id, len(s) AS n, s FROM g),
+o AS (SELECT s, n, row_number() OVER (ORDER BY s) AS k FROM (SELECT DISTINCT s, n FROM d)),
+x AS (SELECT k, n, unnest(s) AS gram FROM o),
+p AS (SELECT l.k AS k, r.k AS m, any_value(l.n) AS na, any_value(r.n) AS nb, count(*) AS shared FROM x l JOIN x r ON l.gram = r.gram AND l.k <= r.k GROUP BY 1, 2),
+near AS (SELECT k, m, shared / (na + nb - shared) AS jaccard FROM p WHERE shared >= 0.5 * (na + nb - shared)),
+i AS (SELECT d.id, o.k FROM d JOIN o ON d.s = o.s)
+SELECT least(a.id, b.id) AS doc_id_a, greatest(a.id, b.id) AS doc_id_b, max(jaccard) AS jaccard FROM near JOIN i a ON a.k = near.k JOIN i b ON b.k = near.m WHERE a.id <> b.id GROUP BY 1, 2
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The placement of every conversation in packs."""
     return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
@@ -115,9 +131,9 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op8_secret_scan": op8_secret_scan, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op1_all_pairs": op1_all_pairs, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op8_secret_scan": op8_secret_scan, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express."""
-    return {"op1_ngram_join": OP1_SQL, "op6_topk": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op1_all_pairs": OP1_ALL_SQL, "op6_topk": OP6_SQL, "op10_url_filter": OP10_SQL}

@@ -112,6 +112,21 @@ def test_near_pairs_and_groups_against_brute_force(spark):
     assert sorted(x["doc_id"] for x in ngram_join.deduplicated(df).collect()) == sorted(set(head))
 
 
+def test_all_pairs_have_every_copy(spark):
+    r = random.Random(4)
+    one, two, three = ([f"w{r.randrange(3000)}" for _ in range(80)] for _ in range(3))
+    texts = [one] * 4 + [[*one[:78], "x", "y"]] * 3 + [two, two, three]
+    held = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(0, " ".join(two)), (0, " ".join(two)), (None, " ".join(one))]
+    sets = {}
+    for k, t in held:
+        sets.setdefault(k, []).append(grams(t))
+    ids = sorted(k for k in sets if k is not None)
+    best = {(a, b): max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b]) for a in ids for b in ids if a < b}
+    want = {k: round(s, 9) for k, s in best.items() if s >= 0.5}
+    got = ngram_join.all_pairs(spark.createDataFrame(held, "doc_id bigint, text string")).collect()
+    assert {(x["a"], x["b"]): round(x["jaccard"], 9) for x in got} == want and len(got) == len(want) == 24
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 400, r.integers(3, 60)).astype(np.uint64)) for _ in range(150)]
