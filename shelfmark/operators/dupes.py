@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -118,26 +120,93 @@ def greedy_linkage(edges: list[tuple[float, int, int]]) -> list[tuple[list[int],
     return out
 
 
-def assign_clusters(edges: DataFrame) -> DataFrame:
-    """Clusters of an edge list: cluster (its least member), node, score.
+def profile_linkage(own: dict[int, list[int]], score: dict[tuple[int, int], float]) -> list[tuple[list[int], float]]:
+    """The clusters of ``greedy_linkage`` from profiles, without a list of the edges of their records.
 
-    Edges of different components never meet in the linkage, so each component is linked by itself.
+    ``own``: the records of each profile, in order; ``score``: of a record of the first profile before one of
+    the second, where it links them. What a cluster requires of a record follows from its profiles and from
+    the first and last record of each.
     """
-    labelled = edges.join(components(edges).withColumnRenamed("node", "i"), "i")
+    profile = {r: p for p, rs in own.items() for r in rs}
+    levels: dict[float, dict[int, list[int]]] = {}
+    for (p, q), s in score.items():
+        levels.setdefault(s, {}).setdefault(p, []).append(q)
+    free = {p: set(rs) for p, rs in own.items()}
+    home: dict[int, int] = {}
+    members: list[dict[int, list[int]]] = []
+
+    def fits(node: int, cluster: int) -> bool:
+        q = profile[node]
+        return all((rs[0] > node or (p, q) in score) and (rs[-1] < node or (q, p) in score) for p, rs in members[cluster].items())
+
+    def put(node: int, cluster: int) -> None:
+        home[node] = cluster
+        insort(members[cluster].setdefault(profile[node], []), node)
+        free[profile[node]].discard(node)
+
+    for s in sorted(levels, reverse=True):
+        for i in sorted(r for p in levels[s] for r in own[p]):
+            seconds = levels[s][profile[i]]
+            after = i
+            if i not in home:
+                refused = set()
+                for j in merge(*(own[q][bisect_right(own[q], i) :] for q in seconds)):
+                    if j not in home:
+                        members.append({})
+                        put(i, len(members) - 1)
+                        put(j, home[i])
+                    elif home[j] not in refused:
+                        if fits(i, home[j]):
+                            put(i, home[j])
+                        else:
+                            refused.add(home[j])
+                    if i in home:
+                        after = j
+                        break
+            if i in home:
+                for j in sorted(r for q in seconds for r in free[q] if r > after):
+                    if fits(j, home[i]):
+                        put(j, home[i])
+    out = []
+    for m in members:
+        cents = 0
+        for p, ps in m.items():
+            for q, qs in m.items():
+                count = sum(len(qs) - bisect_right(qs, r) for r in ps)
+                cents += count * round(100 * score[p, q]) if count else 0
+        nodes = sorted(r for rs in m.values() for r in rs)
+        out.append((nodes, round(cents / (50 * len(nodes) * (len(nodes) - 1)), 2)))
+    return out
+
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_linkage(list(zip(part["score"], part["i"], part["j"], strict=True)))
+def assign_clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Clusters of numbered records: cluster (its least member), node, score.
+
+    Profiles are scored once, and each connected component of profiles is linked by itself: edges of
+    different ones never meet in the linkage, and no list of the records' edges is made.
+    """
+    key = ["name", "docstring", "signature"]
+    held = records.select("ord", *key)
+    profiles = held.groupBy(*key).agg(F.min("ord").alias("profile"))
+    a, b = (profiles.select(*[F.col(k).alias(f"{p}{k}") for k in [*key, "profile"]]) for p in ("a_", "b_"))
+    scored = written(scored_profiles(a.crossJoin(b), "a_", "b_", threshold).select(F.col("a_profile").alias("i"), F.col("b_profile").alias("j"), "score"), "profile-pairs")
+    labels = components(scored)
+    pairs = scored.join(labels.select(F.col("node").alias("i"), F.col("component").alias("part")), "i")
+    owned = held.join(profiles, key).select("ord", F.col("profile").alias("node")).join(labels, "node")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = {int(p): sorted(x.tolist()) for p, x in left.groupby("node")["ord"]}
+        found = profile_linkage(own, dict(zip(zip(right["i"].tolist(), right["j"].tolist(), strict=True), right["score"].tolist(), strict=True)))
         return pd.DataFrame([(m[0], n, s) for m, s in found for n in m], columns=["cluster", "node", "score"])
 
-    return labelled.groupBy("component").applyInPandas(run, "cluster bigint, node bigint, score double")
+    return owned.groupBy("component").cogroup(pairs.groupBy("part")).applyInPandas(run, "cluster bigint, node bigint, score double")
 
 
 def find_clusters(records: DataFrame, threshold: float = THRESHOLD, limit: int | None = None) -> DataFrame:
     """Clusters, largest and tightest first: members (array of records in natural order), score, size."""
     numbered = records if "ord" in records.columns else with_ordinal(records)
     fields = [c for c in numbered.columns if c not in ("ord", "seq")]
-    edges = written(pair_edges(numbered, threshold), "edges")
-    placed = assign_clusters(edges).join(numbered.withColumnRenamed("ord", "node"), "node")
+    placed = assign_clusters(numbered, threshold).join(numbered.withColumnRenamed("ord", "node"), "node")
     member = F.struct("node", *fields)
     grouped = placed.groupBy("cluster").agg(F.array_sort(F.collect_list(member)).alias("m"), F.first("score").alias("score"))
     clean = F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in fields]))

@@ -42,7 +42,6 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INVENTORY = """(SELECT replace(p_name, ' ', '_') AS name, p_brand AS file, p_partkey::INTEGER AS line, '(size: ' || CASE WHEN p_size < 25 THEN 'int' ELSE 'str' END || ') -> bool' AS signature,
 p_name || ' ' || lower(p_type) AS docstring, p_type AS lang, p_brand || '.' || replace(p_name, ' ', '_') AS qualname, 0 AS seq FROM part)"""
-COLUMNS = ["name", "file", "line", "signature", "docstring", "lang", "qualname", "seq"]
 
 
 def openings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -194,20 +193,13 @@ def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of distinct profiles that are near-duplicates."""
-    return dupes.pair_edges(with_ordinal(profiles(spark, sf_dir)))
-
-
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory with one record for each name, summary and signature: the first."""
-    key = ["name", "docstring", "signature"]
-    first = F.min(F.struct("file", "line", "lang", "qualname", "seq")).alias("r")
-    return inventory(spark, sf_dir).groupBy(*key).agg(first).select(*key, "r.*").select(*COLUMNS)
+    """All pairs of records that are near-duplicates."""
+    return dupes.pair_edges(with_ordinal(inventory(spark, sf_dir)))
 
 
 def dupe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-linkage clusters of the distinct profiles."""
-    found = dupes.find_clusters(profiles(spark, sf_dir))
+    """Complete-linkage clusters of all records."""
+    found = dupes.find_clusters(inventory(spark, sf_dir))
     return found.select(F.transform("members", lambda m: F.concat_ws(":", m["file"], m["line"].cast("string"))).alias("members"), "score", "size")
 
 

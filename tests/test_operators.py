@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from shelfmark import server
 from shelfmark.functions import shapes, text
 from shelfmark.operators import delta, dupes, search, semantic, stale, stats
 from shelfmark.operators.ordinal import with_ordinal
+from shelfmark.plans import queries
 from shelfmark.schema import RECORD
 from shelfmark.session import drop_tables, tables_noted, written
 from shelfmark.sources import repo
@@ -55,6 +57,31 @@ def test_chains_stay_apart():
     assert dupes.greedy_linkage([(92.0, 0, 1), (80.0, 1, 2)]) == [([0, 1], 92.0)]
 
 
+def test_linkage_of_profiles_equals_that_of_records():
+    for seed in range(150):
+        r = random.Random(seed)
+        place = list(range(r.randrange(2, 30)))
+        profile = [r.randrange(6) for _ in place]
+        score = {(p, q): r.choice((75.5, 80.25, 90.0)) for p in range(6) for q in range(6) if r.random() < 0.7}
+        edges = [(score[profile[i], profile[j]], i, j) for i in place for j in place[i + 1 :] if (profile[i], profile[j]) in score]
+        own = {}
+        for i in place:
+            own.setdefault(profile[i], []).append(i)
+        score = {k: s for k, s in score.items() if k[0] in own and k[1] in own}
+        want, got = dupes.greedy_linkage(edges), dupes.profile_linkage(own, score)
+        assert [m for m, _ in got] == [m for m, _ in want] and all(abs(a[1] - b[1]) < 0.011 for a, b in zip(got, want, strict=True))
+
+
+def test_duplicate_queries_have_every_record(spark):
+    held = with_ordinal(queries.inventory(spark, "/root/testdata/sf0.001")).collect()
+    key = {r["ord"]: (r["name"], r["docstring"], r["signature"]) for r in held}
+    edges = {(r["i"], r["j"]): r["score"] for r in queries.pair_edges(spark, "/root/testdata/sf0.001").collect()}
+    same = {(i, j) for i in key for j in key if i < j and key[i] == key[j]}
+    assert same and same <= edges.keys()
+    want = sorted(len(m) for m, _ in dupes.greedy_linkage([(s, i, j) for (i, j), s in edges.items()]))
+    assert sorted(r["size"] for r in queries.dupe_clusters(spark, "/root/testdata/sf0.001").collect()) == want
+
+
 def test_search_against_brute_force(spark):
     query = "parse iso date"
     want = sorted(((-min(100.0, max(text.token_set_ratio(query, r[0].replace("_", " ")), 0.9 * text.partial_ratio(query, r[4]) if r[4] else 0.0)), r[1], r[2]) for r in ROWS))
