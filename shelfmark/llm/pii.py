@@ -71,7 +71,8 @@ _NUMBER = re.compile(
     r")|(?<!\w)(?P<plus>\((?:\d{2,4})\) ?\d{3,4}[ .-]\d{3,4}(?!\w))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_PERSON = re.compile(r"(?<!\w)([A-Z]\w+)( (?:[A-Z]\.? )?[A-Z]\w+)(?!\w)")
+#: Matches nothing but looks ahead, so that a title or the first word of a sentence doesn't take the name after it along.
+_PERSON = re.compile(r"(?<!\w)(?=([A-Z]\w+)( (?:[A-Z]\.? )?[A-Z]\w+)(?!\w))")
 
 
 def luhn(digits: str) -> bool:
@@ -100,7 +101,7 @@ def candidates(text: str, named: bool = True) -> list[tuple[int, int, str]]:
     if any(c.isdigit() for c in text):
         found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
     if named:
-        found += [(*m.span(), "person") for m in _PERSON.finditer(text) if m[1].lower() in GIVEN]
+        found += [(m.start(1), m.end(2), "person") for m in _PERSON.finditer(text) if m[1].lower() in GIVEN]
     found.sort(key=lambda x: (x[0], TYPES.index(x[2])))
     out, end = [], 0
     for span in found:

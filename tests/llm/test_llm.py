@@ -219,6 +219,13 @@ def test_redaction(spark, docs):
         assert "".join([*out, r["was"][at:]]) == r["text"]
 
 
+def test_names_after_titles_and_sentence_starts():
+    for text in ("Dear John Smith,", "Contact John Smith now", "Dr John Smith", "Yesterday James Brown left", "Dear Dr John A. Smith"):
+        (s, e, kind), = pii.candidates(text)
+        assert kind == "person" and text[s:e].split()[0] in ("John", "James") and text[s:e].split()[-1] in ("Smith", "Brown")
+    assert [x[:2] for x in pii.candidates("Maria John Smith")] == [(0, 10)]
+
+
 # 5
 
 
