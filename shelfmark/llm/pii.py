@@ -48,6 +48,11 @@ GIVEN = frozenset(
     pierre jean michel camille sophie claire nicolas philippe isabelle juan carlos jose luis maria carmen ana javier miguel hans klaus
     jurgen wolfgang sabine ursula petra stefan katrin""".split()
 )
+#: Given names are looked for as runs of these, so that no quote, dash or space beyond ASCII can hide one.
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: First bytes of the characters beyond ASCII that may be digits.
+_DIGIT_LEAD = np.isin(np.arange(256), sorted({chr(c).encode()[0] for c in range(128, 0x110000) if chr(c).isdecimal()}))
 _GIVEN_HASH = np.sort(textbuf.words(*textbuf.column(pa.array([" ".join(sorted(GIVEN))])))[0])
 PROVIDERS = frozenset("gmail yahoo hotmail outlook icloud proton aol gmx mail web orange free".split())
 _TLD = frozenset("com org net edu gov io co uk de fr es it eu info biz us ca au jp cn in nl ch at be br mx".split())
@@ -128,7 +133,7 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
         form = 1 if good else -1
         if good:
             check = 1 if any(int(p) > 31 for p in parts) else -1 if all(int(p) < 16 for p in parts) else 0
-            gazetteer = -1 if ipaddress.ip_address(span).is_loopback or span in ("0.0.0.0", "255.255.255.255") else 0
+            gazetteer = -1 if ipaddress.ip_address(plain := ".".join(str(int(p)) for p in parts)).is_loopback or plain in ("0.0.0.0", "255.255.255.255") else 0
     elif kind == "card":
         form = 1 if len(digits) in (15, 16) and digits != digits[0] * len(digits) else -1
         check = 1 if luhn(digits) else 0
@@ -239,12 +244,15 @@ def _hits(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, str, bool]]:
     for i, j in textbuf.chunks(offsets):
         part, local = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         rows = np.zeros(j - i, bool)
-        spot = np.flatnonzero((part >= 48) & (part < 58) | (part == 64))
+        spot = np.flatnonzero((part >= 48) & (part < 58) | (part == 64) | _DIGIT_LEAD[part])
         rows[np.searchsorted(local, spot, side="right") - 1] = True
-        h, row = textbuf.words(part, local)
+        h, row = textbuf.words(part, local, _LETTER)
         named = np.zeros(j - i, bool)
         near = np.minimum(np.searchsorted(_GIVEN_HASH, h), len(_GIVEN_HASH) - 1)
         named[row[_GIVEN_HASH[near] == h]] = True
+        # the Kelvin sign is a k in lower case
+        kelvin = np.flatnonzero((part[:-2] == 0xE2) & (part[1:-1] == 0x84) & (part[2:] == 0xAA)) if len(part) > 2 else []
+        named[np.searchsorted(local, kelvin, side="right") - 1] = True
         for k in np.flatnonzero(rows | named):
             yield int(k) + i, values[int(k) + i].as_py(), bool(named[k])
 

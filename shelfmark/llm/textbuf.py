@@ -109,18 +109,18 @@ def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(v, before) + lengths.astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and the row it belongs to, in order, window by window."""
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the row it belongs to, in order, window by window. ``of``: the bytes that words are made of."""
     n, at = len(data), 0
     hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     while at < n:
         to = min(at + WINDOW, n)
-        while to < n and WORD[data[to]] and WORD[data[to - 1]]:
-            more = np.flatnonzero(~WORD[data[to : to + WINDOW]])
+        while to < n and of[data[to]] and of[data[to - 1]]:
+            more = np.flatnonzero(~of[data[to : to + WINDOW]])
             to = to + int(more[0]) if len(more) else min(to + WINDOW, n)
         part = data[at:to]
         lo, hi = np.searchsorted(offsets, [at, to])
-        s, e = spans(WORD[part], offsets[lo:hi] - at)
+        s, e = spans(of[part], offsets[lo:hi] - at)
         hashes.append(hash_spans(fold(part), s, e))
         rows.append(np.searchsorted(offsets, s + at, side="right") - 1)
         at = to

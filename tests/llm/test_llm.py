@@ -226,6 +226,16 @@ def test_names_after_titles_and_sentence_starts():
     assert [x[:2] for x in pii.candidates("Maria John Smith")] == [(0, 10)]
 
 
+def test_no_text_with_candidates_is_passed_over(docs):
+    texts = ["“John Smith”", "« Jean Dupont »", "—Mary Jones—", "by\u00a0James Brown", "‘Anna Lee’", "Mar\u212a Twain", "call ٠٢٠ ٧٩٤٦ ٠٩٥٨", "host ١٠.٢٠.٣٠.٤٠", "nothing here", "", None]
+    texts += [r["text"] for r in docs.collect()]
+    seen = {k: named for k, _, named in pii._hits(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0)}
+    for k, text in enumerate(texts):
+        want = pii.candidates(text or "")
+        assert (pii.candidates(text, seen[k]) if k in seen else []) == want and (want or not 0 <= k < 8)
+        assert all(pii.votes(text, *x) for x in want)
+
+
 # 5
 
 
