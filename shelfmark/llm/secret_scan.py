@@ -13,7 +13,7 @@ seeded generator of key formats (hex, base64, prefixed keys, signed tokens, pass
 assignments) and of look-alikes (checksums, UUIDs, versions, paths, numbers, identifiers, data).
 
 Defined cases: null and empty texts have no candidates; a candidate longer than ``WIDEST`` is judged by
-its first and last characters, and reported whole; a result row is a candidate that scores at or
+the highest score of its windows of that width, and reported whole; a result row is a candidate that scores at or
 above the threshold, or with ``everything`` each candidate; null ids are kept; equal rows report alike; other
 columns don't take part. The secret itself is never in the result, only its place and a digest.
 """
@@ -36,6 +36,8 @@ from shelfmark.llm import textbuf
 
 LEAST = 16
 WIDEST = 64
+#: Windows overlap by WIDEST - STEP: a key of up to 56 characters is whole in one, a longer one fills all but 7 of one.
+STEP = 8
 CONTEXT = 24
 WIDTH = WIDEST + 2 * CONTEXT
 RECALL = 0.98
@@ -67,16 +69,20 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[keep], e[keep]
 
 
+def windows(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates as parts of at most WIDEST bytes, one every STEP bytes and one at the end: number of the candidate, start, end."""
+    count = np.maximum(0, -(-(e - s - WIDEST) // STEP)) + 1
+    of = np.repeat(np.arange(len(s)), count)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.maximum(np.minimum(s[of] + k * STEP, e[of] - WIDEST), s[of])
+    return of, start, np.minimum(start + WIDEST, e[of])
+
+
 def view(data: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The symbols of each candidate with its surroundings, [n, WIDTH]; ``low`` and ``high`` bound its text."""
+    """The symbols of each window with its surroundings, [n, WIDTH]; ``low`` and ``high`` bound its text."""
     place = np.arange(WIDTH) - CONTEXT
-    size = e - s
-    half = WIDEST // 2
-    inner = np.where((size[:, None] > WIDEST) & (place >= half), size[:, None] - WIDEST + place, place)
-    inside = (place >= 0) & (place < np.minimum(size, WIDEST)[:, None])
-    after = place - np.minimum(size, WIDEST)[:, None]
-    at = np.where(inside, s[:, None] + inner, np.where(place < 0, s[:, None] + place, e[:, None] + after))
-    good = (at >= low[:, None]) & (at < high[:, None]) & (inside | (place < 0) | (after < CONTEXT))
+    at = s[:, None] + place
+    good = (at >= low[:, None]) & (at < high[:, None]) & (place < (e - s)[:, None] + CONTEXT)
     return np.where(good, _SYMBOL[data[np.clip(at, 0, max(len(data) - 1, 0))]], 0)
 
 
@@ -232,10 +238,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
 
 
 def views_of(rows: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Network input of labelled findings: symbols, sizes, labels."""
+    """Network input of labelled findings, of a long one its first window: symbols, sizes, labels."""
     data, offsets = textbuf.column(pa.array([a + b + c for a, b, c, _ in rows], pa.string()))
     s = offsets[:-1] + np.array([len(a.encode()) for a, _, _, _ in rows], np.int64)
-    size = np.array([len(b.encode()) for _, b, _, _ in rows], np.int64)
+    size = np.minimum([len(b.encode()) for _, b, _, _ in rows], WIDEST)
     return view(data, s, s + size, offsets[:-1], offsets[1:]), size, np.array([y for *_, y in rows], float)
 
 
@@ -253,7 +259,12 @@ def scan_texts(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     """All candidates of many texts: row, start and end in bytes of the buffer, probability."""
     s, e = find(data, offsets)
     row = np.searchsorted(offsets, s, side="right") - 1
-    p = np.concatenate([net.probability(view(data, s[k : k + 4096], e[k : k + 4096], offsets[row[k : k + 4096]], offsets[row[k : k + 4096] + 1]), (e - s)[k : k + 4096]) for k in range(0, len(s), 4096)]) if len(s) else np.zeros(0)
+    of, ws, we = windows(s, e)
+    p = np.zeros(len(s))
+    for k in range(0, len(of), 4096):
+        part = slice(k, k + 4096)
+        own = row[of[part]]
+        np.maximum.at(p, of[part], net.probability(view(data, ws[part], we[part], offsets[own], offsets[own + 1]), (we - ws)[part]))
     return row, s, e, p
 
 

@@ -317,6 +317,21 @@ def test_network_on_held_out_findings(spark):
     assert text and len(caught & real) >= 0.9 * len(real) and len(caught - real) <= 0.1 * (len(fresh) - len(real))
 
 
+def test_keys_in_the_middle_of_long_runs(spark):
+    net, r, found = secret_scan.train(), random.Random(12), 0
+    fill = ["path", "to", "some", "folder", "of", "data", "home", "part"]
+    for k in range(40):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+        text = "/".join(r.choice(fill) for _ in range(12)) + "/aws_secret_access_key=" + key + "/" + "/".join(r.choice(fill) for _ in range(12))
+        data, offsets = textbuf.column(pa.array([text]))
+        _, s, e, p = secret_scan.scan_texts(net, data, offsets)
+        at = text.index(key)
+        found += any(a <= at and b >= at + 40 and x >= net.threshold for a, b, x in zip(s, e, p, strict=True))
+    assert found >= 36
+    of, s, e = secret_scan.windows(np.array([0, 100, 300]), np.array([20, 164, 500]))
+    assert (e - s).tolist() == [20] + [64] * 19 and e[-1] == 500 and (np.diff(s[of == 2]) <= 8).all()
+
+
 # 9
 
 
