@@ -51,7 +51,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 OPERATORS = {
-    "pairs": lambda d: ngram_join.near_pairs(d),
+    "classes": lambda d: ngram_join.near_classes(d),
     "dedup": lambda d: ngram_join.deduplicated(d),
     "pack": lambda d: packing.pack_documents(d),
     "encode": lambda d: spiece.encode(d, check=True),
@@ -70,8 +70,8 @@ OPERATORS = {
 def test_awkward_and_empty_tables(spark, name):
     assert OPERATORS[name](empty(spark)).collect() == []
     got = OPERATORS[name](awkward(spark)).collect()
-    if name == "pairs":
-        assert [(r["a"], r["b"], r["jaccard"]) for r in got] == [(1, 2, 1.0)]
+    if name == "classes":
+        assert sorted(tuple(r) for r in got) == [(1, 1, 1, 2, 1), (2, 1, 1, 2, 1), *[(k, k, k, 1, 0) for k in range(3, 10)]]
     if name == "dedup":
         assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
     if name in ("encode", "redact", "identify", "quality", "shards"):
@@ -92,50 +92,100 @@ def near_text(r, words, share):
     return " ".join(w if r.random() > share else f"x{r.randrange(9999)}" for w in words)
 
 
-def test_near_pairs_and_groups_against_brute_force(spark):
+@pytest.fixture(scope="module")
+def near_texts():
     r = random.Random(3)
     texts = []
-    for _ in range(12):
-        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(40, 200))]
-        texts += [near_text(r, base, x) for x in (0, 0.01, 0.03, 0.05, 0.08)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for _ in range(15):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(10, 200))]
+        texts += [near_text(r, base, x) for x in (0, 0.01, 0.03, 0.05, 0.08, 0.15, 0.2)]
+    texts += texts[:30]
     sets = [grams(t) for t in texts]
-    rep = [sets.index(s) for s in sets]
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if (rep[i] == j if rep[i] == rep[j] else (rep[i], rep[j]) == (i, j)) and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
-    got = {(x["b"], x["a"]): x["jaccard"] for x in ngram_join.near_pairs(df).collect()}
-    assert len(want & got.keys()) >= 0.97 * len(want) and got.keys() <= want
-    assert all(abs(s - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 1e-9 for (i, j), s in got.items())
-    head = list(range(len(texts)))
-    for _ in texts:
-        for i, j in got:
+    return texts, sets, [sets.index(s) for s in sets]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"node": 3}, {"node_grams": 500}])
+def test_near_pairs_are_those_of_brute_force(spark, near_texts, bounds):
+    texts, sets, rep = near_texts
+    score = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in set(rep) for i in set(rep) if i < j}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = ngram_join.near_pairs(df, **bounds).collect()
+    assert {(x["a"], x["b"]): round(x["jaccard"], 9) for x in got} == {k: round(s, 9) for k, s in score.items() if s >= 0.5}
+    assert len({(x["a"], x["b"]) for x in got}) == len(got)
+
+
+def heads_of(ids, links):
+    head = {i: i for i in ids}
+    for _ in head:
+        for i, j in links:
             head[i] = head[j] = min(head[i], head[j])
-    assert sorted(x["doc_id"] for x in ngram_join.deduplicated(df).collect()) == sorted(set(head))
+    return head
+
+
+def test_classes_and_links_are_those_of_brute_force(spark, near_texts):
+    texts, sets, rep = near_texts
+    links = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    head = heads_of(range(len(sets)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {x["doc_id"]: (x["class_id"], x["copy_id"], x["copies"], x["links"]) for x in ngram_join.near_classes(df).collect()}
+    assert got == {i: (head[i], rep[i], rep.count(rep[i]), sum(a == i for a, _ in links)) for i in range(len(sets))}
+    assert sorted(x["doc_id"] for x in ngram_join.deduplicated(df).collect()) == sorted(set(head.values()))
+
+
+def test_a_hot_group_of_near_texts_over_many_chunks_and_copies_of_nodes(spark, monkeypatch):
+    """A third of all rows is one near group; small bounds, so that ranges, buckets, hot n-grams and copies of nodes all occur."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join((f"x{r.randrange(50)}" if r.random() < 0.06 else w) for w in base) for _ in range(100)]
+    texts += [" ".join(f"y{r.randrange(400)}" for _ in range(40)) for _ in range(200)]
+    sets = [grams(t) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    signed, asked = ngram_join._signatures, ngram_join._asked
+    for name, value in (("RANGE", 1000), ("GUESTS", 2), ("HOT", 20), ("HOT_COUNT", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+
+    def small(function):
+        def run(batches, *rest):
+            ngram_join.CHUNK, ngram_join.HOT_COUNT = 500, 2
+            yield from function(batches, *rest)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_signatures", small(signed))
+    monkeypatch.setattr(ngram_join, "_asked", small(asked))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {(x["a"], x["b"]) for x in ngram_join.near_pairs(df, node=4).collect()}
+    assert got == want and len(want) > 1000
 
 
-def test_all_pairs_have_every_copy(spark):
-    r = random.Random(4)
-    one, two, three = ([f"w{r.randrange(3000)}" for _ in range(80)] for _ in range(3))
-    texts = [one] * 4 + [[*one[:78], "x", "y"]] * 3 + [two, two, three]
-    held = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(0, " ".join(two)), (0, " ".join(two)), (None, " ".join(one))]
-    sets = {}
-    for k, t in held:
-        sets.setdefault(k, []).append(grams(t))
-    ids = sorted(k for k in sets if k is not None)
-    best = {(a, b): max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b]) for a in ids for b in ids if a < b}
-    want = {k: round(s, 9) for k, s in best.items() if s >= 0.5}
-    got = ngram_join.all_pairs(spark.createDataFrame(held, "doc_id bigint, text string")).collect()
-    assert {(x["a"], x["b"]): round(x["jaccard"], 9) for x in got} == want and len(got) == len(want) == 24
+def test_an_id_of_several_texts(spark):
+    held = [(5, "a b c d"), (1, "a b c d"), (5, "e f g h"), (7, "e f g h"), (7, "e f g h"), (8, None), (None, "a b c d")]
+    df = spark.createDataFrame(held, "doc_id bigint, text string")
+    got = sorted(tuple(x) for x in ngram_join.near_classes(df).collect())
+    assert got == [(1, 1, 1, 2, 1), (5, 1, 1, 2, 1), (5, 5, 5, 2, 1), (7, 5, 5, 2, 1), (8, 8, 8, 1, 0)]
+    kept = sorted(((x["doc_id"] or 0), x["text"] or "") for x in ngram_join.deduplicated(df).collect())
+    assert kept == [(0, "a b c d"), (1, "a b c d"), (5, "a b c d"), (5, "e f g h"), (8, "")]
+
+
+def members(sets, numbers):
+    at = np.r_[0, np.cumsum([len(s) for s in sets])]
+    own = ngram_join.Members.__new__(ngram_join.Members)
+    own.flat, own.at, own.n, own.sid = np.concatenate(sets), at, np.diff(at).astype(np.int32), np.array(numbers)
+    return own
 
 
 def test_tree_loses_no_pair():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 400, r.integers(3, 60)).astype(np.uint64)) for _ in range(150)]
     sets += [s[: max(2, int(len(s) * 0.8))] for s in sets]
-    at = np.r_[0, np.cumsum([len(s) for s in sets])]
-    i, j, shared = ngram_join.tree_pairs(np.concatenate(sets), at, 0.5)
+    near = {(a, b): n for a in range(300) for b in range(300) if (n := len(np.intersect1d(sets[a], sets[b]))) >= 0.5 * (len(sets[a]) + len(sets[b]) - n)}
+    own = members(sets, range(300))
+    i, j, shared = ngram_join.tree_pairs(own, own, 0.5)
     got = {(min(a, b), max(a, b)): s for a, b, s in zip(i.tolist(), j.tolist(), shared.tolist(), strict=True)}
-    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(300) for b in range(a + 1, 300)}
-    assert got == {k: s for k, s in both.items() if s >= 0.5 * (len(sets[k[0]]) + len(sets[k[1]]) - s)}
+    assert got == {k: s for k, s in near.items() if k[0] < k[1]} and len(got) == len(i)
+    one, two = members(sets[:220], range(220)), members(sets[220:], range(220, 300))
+    i, j, shared = ngram_join.tree_pairs(one, two, 0.5)
+    assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), shared.tolist(), strict=True)) == {(a, b - 220): s for (a, b), s in near.items() if a < 220 <= b}
 
 
 def test_forest_connects_what_the_pairs_do():
@@ -382,12 +432,9 @@ def test_pipeline_stage_by_stage(spark, docs):
         elif k == 1:
             want = {r["doc_id"] for r in fertility.quality(have).where("keep").collect()}
         elif k == 2:
-            head = {d: d for d in before}
-            pairs = [(r["a"], r["b"]) for r in ngram_join.near_pairs(have).collect()]
-            for _ in pairs:
-                for a, b in pairs:
-                    head[a] = head[b] = min(head[a], head[b])
-            want = {d for d, h in head.items() if d == h}
+            sets = {d: grams(r["text"]) for d, r in before.items()}
+            near = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])]
+            want = {d for d, h in heads_of(before, near).items() if d == h}
         else:
             want = set(before)
             assert all(r["n_chars"] == len(r["text"]) for r in rows_ if r["text"] != before[r["doc_id"]]["text"])
