@@ -7,7 +7,8 @@ fewer phrases, the closer the language. The count is normalised to bits for each
 
 All documents of a batch are parsed at once: normalised text is cut into segments that step
 through the automaton's dense transition table together, one table look-up for each symbol
-and language. A phrase also ends at the end of a segment, in every language alike.
+and language. The cuts leave no trace: each segment is then entered again in the state the one before it
+ended in, until both parses begin a phrase at the same symbol, from where on they are the same.
 
 Normalised text: case folded, all but letters (ASCII letters and bytes from 0x80) one space.
 
@@ -32,10 +33,13 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import textbuf
 
+#: Symbols that one lane steps through; results don't depend on it.
 SEGMENT = 256
-#: Bound on the labelled text: rows of each language, and normalised bytes of each language.
+#: Bound on the labelled text: rows of each language, characters of each row, and normalised bytes of each language.
 TRAIN_ROWS = 64
 TRAIN_BYTES = 24_000
+#: Bound on the tables that are broadcast; beyond it each language's training text gets shorter by the same factor.
+MODEL_BYTES = 256 << 20
 #: A document is rejected where its best language needs this many times the bits that held-out text of it needs.
 SLACK = 2.0
 #: Shorter documents are noisy; their limit is (1 + SHORT / symbols) times as high.
@@ -92,7 +96,7 @@ class Model:
     """Automata of all languages as dense tables over the symbols of the training texts."""
 
     def __init__(self, texts: dict[str, bytes]) -> None:
-        self.langs = sorted(texts)
+        self.langs, self.texts = sorted(texts), texts
         used = sorted(set().union(*[set(t) for t in texts.values()])) if texts else []
         # symbol 0: none (padding); 1: one that no training text has
         self.symbol = np.ones(256, np.uint8)
@@ -104,20 +108,21 @@ class Model:
         self.tables = [self._table(Automaton(texts[x])) for x in self.langs]
 
     def _table(self, automaton: Automaton) -> np.ndarray:
-        """(state, symbol) -> next state's row, times 4, plus the phrases that begin: 1 where one ends before the symbol, 2 where the symbol is also one by itself."""
+        """(state, symbol) -> next state's row, times 2, plus 1 where a phrase begins with the symbol.
+
+        At the root no phrase is under way; a symbol unseen there is a phrase of its own.
+        """
         w = self.width
-        root = np.ones(w, np.int64)  # unseen at the root: a phrase of its own, and the root again
+        root = np.ones(w, np.int64)
         root[0] = 0
         for b, to in automaton.next[0].items():
-            root[self.symbol[b]] = to * w << 2
-        broken = np.where(root == 1, 2, root | 1)
-        table = np.tile(broken, (len(automaton.next), 1))
-        table[0] = root
+            root[self.symbol[b]] = to * w << 1 | 1
+        table = np.tile(root, (len(automaton.next), 1))
         for state, edges in enumerate(automaton.next):
             if state:
-                table[state, 0] = state * w << 2
-            for b, to in edges.items():
-                table[state, self.symbol[b]] = to * w << 2
+                table[state, 0] = state * w << 1
+                for b, to in edges.items():
+                    table[state, self.symbol[b]] = to * w << 1
         return table.astype(np.int32).ravel()
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -134,25 +139,75 @@ class Model:
         start = offsets[:-1][row] + place * SEGMENT
         length = np.minimum(offsets[1:][row] - start, SEGMENT)
         order = np.argsort(-length, kind="stable")
+        where = np.empty(total, np.int64)
+        where[order] = np.arange(total)
+        # the lanes that go on from another, and those others
+        later = where[place > 0]
+        before = where[np.flatnonzero(place > 0) - 1]
         start, length, row = start[order], length[order], row[order]
         codes = np.r_[self.symbol[data], np.zeros(SEGMENT, np.uint8)].astype(np.int32)
         longest = int(length[0])
         active = np.searchsorted(-length, -np.arange(longest), side="left")  # segments longer than t
         states = [np.zeros(total, np.int32) for _ in self.langs]
-        counts = [np.ones(total, np.int32) for _ in self.langs]
+        begins = [np.zeros((longest, total), bool) for _ in self.langs]
         for t in range(longest):
             k = int(active[t])
             sym = codes[start[:k] + t]
-            for table, state, count in zip(self.tables, states, counts, strict=True):
+            for table, state, begin in zip(self.tables, states, begins, strict=True):
                 s = state[:k]
                 s += sym
                 v = table[s]
-                count[:k] += v & 3
-                np.right_shift(v, 2, out=s)
-        for x, count in enumerate(counts):
+                np.not_equal(v & 1, 0, out=begin[t, :k])
+                np.right_shift(v, 1, out=s)
+        for x, (table, state, begin) in enumerate(zip(self.tables, states, begins, strict=True)):
+            count = begin.sum(0, dtype=np.int64)
+            count += self._entered(table, codes, start, length, state, begin, later, before)
             out[:, x] = np.bincount(row, weights=count, minlength=n)
         return out
 
+    @staticmethod
+    def _entered(table: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, begin: np.ndarray, later: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What each segment's count changes by as it is entered in the state that the one before it ended in.
+
+        A segment in which the two parses don't meet ends in another state, so the next one is entered again.
+        """
+        change = np.zeros(len(state), np.int64)
+        end = state.copy()
+        after = np.full(len(state), -1)
+        after[before] = later
+        lanes, entry = later, end[before]
+        used = np.full(len(state), -1, np.int64)
+        while len(lanes):
+            now = lanes
+            used[lanes] = entry
+            live, s, delta = lanes, entry, np.zeros(len(lanes), np.int64)
+            left = np.arange(len(lanes))
+            for t in range(len(begin)):
+                over = length[live] <= t
+                if over.any():
+                    end[live[over]] = s[over]
+                    change[live[over]] = delta[left[over]]
+                    live, s, left = live[~over], s[~over], left[~over]
+                if not len(live):
+                    break
+                v = table[s + codes[start[live] + t]]
+                first, other = (v & 1) != 0, begin[t, live]
+                met = first & other
+                if met.any():
+                    change[live[met]] = delta[left[met]]
+                    end[live[met]] = state[live[met]]
+                    live, v, left, first, other = live[~met], v[~met], left[~met], first[~met], other[~met]
+                delta[left] += first.astype(np.int64) - other
+                s = v >> 1
+            if len(live):
+                end[live] = s
+                change[live] = delta[left]
+            # those that follow a segment that ends otherwise than they were entered
+            again = now[(after[now] >= 0)]
+            again = again[end[again] != used[after[again]]]
+            lanes, entry = after[again], end[again]
+        return change
+
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of raw texts: best language's number (-1: none), its bits a symbol, the lead over the next, symbols."""
         norm, at = normalise(data, offsets)
@@ -174,7 +229,7 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
-    """A model of a bounded sample: of each language the ``rows`` documents of least hashed id, whole.
+    """A model of a bounded sample: of each language the ``rows`` documents of least hashed id, each up to ``most`` characters.
 
     Of these every fourth is held out; the rest, up to ``most`` normalised bytes, make the automaton. The
     limit of a language is SLACK times the median bits a symbol of its held-out documents of 200
@@ -186,7 +241,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     wanted = {(r["id"], r["lang"]): r["n"] for r in chosen}
     if not wanted:
         return Model({})
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isin([k[0] for k in wanted]) & F.col("text").isNotNull())
+    found = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, most).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isin([k[0] for k in wanted]) & F.col("text").isNotNull())
     texts: dict[str, list[tuple[int, bytes, str]]] = {}
     for r in found.distinct().collect():
         n = wanted.get((r["id"], r["lang"]))
@@ -200,6 +255,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         used = [t for n, t, _ in got if n % 4 or len(got) < 4]
         parts[lang] = b" ".join(used)[:most]
         held += [(lang, raw) for n, _, raw in got if n % 4 == 0 and len(got) >= 4]
+    # twice as many states as symbols at the most, for each a row as wide as the alphabet
+    size = sum(8 * len(t) * (len(set(b"".join(parts.values()))) + 2) for t in parts.values())
+    if size > MODEL_BYTES:
+        parts = {k: t[: int(len(t) * MODEL_BYTES / size)] for k, t in parts.items()}
     model = Model({k: t for k, t in parts.items() if t.strip()})
     if held and model.langs:
         data, offsets = textbuf.column(pa.array([t for _, t in held]))
@@ -217,7 +276,7 @@ def _load(key: str, holder: object) -> Model:
 
 
 class _Shipped:
-    """A model as a broadcast variable, its size fixed by TRAIN_BYTES; loaded once in each worker."""
+    """A model as a broadcast variable of MODEL_BYTES at the most; loaded once in each worker."""
 
     def __init__(self, docs: DataFrame, model: Model) -> None:
         self.key = uuid.uuid4().hex
