@@ -47,9 +47,8 @@ def _walk(node: ast.AST, path: tuple[str, ...]) -> Iterator[tuple[ast.AST, tuple
 
 
 def parse(source: str, path: str) -> list[Row]:
-    """Every function of a file, methods and nested ones too, in order; none where it doesn't parse."""
+    """Every function of a file, methods and nested ones too, in order; none where it doesn't parse or nests too deep."""
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+        return [(n.name, path, n.lineno, signature(n), summary(n), "python", ".".join(q), k) for k, (n, q) in enumerate(_walk(ast.parse(source), ()))]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    return [(n.name, path, n.lineno, signature(n), summary(n), "python", ".".join(q), k) for k, (n, q) in enumerate(_walk(tree, ()))]
