@@ -3,11 +3,11 @@
 A document is the set of its word n-grams (a word: see ``textbuf``), hashed to 64 bits; equal sets are
 one from there on. The join has four steps, each linear in what it moves:
 
-1. Which n-grams do two sets have? Within a chunk of texts that is counted on the spot; only n-grams
-   found once there, and one witness of each other, are shuffled by hash. n-grams that a large share of
-   a chunk's sets has (``hot``) are known from the first scan and never shuffled by hash at all.
+1. Which n-grams do two sets have, and how many sets has each? Occurrences are shuffled by hash and counted
+   in ranges of it. n-grams that a large share of the sets of a chunk has (``hot``, a list of fixed size)
+   are known from the first scan and never meet in a task.
 2. A set of n of which s are shared can be near another only where s >= t n. Its shared n-grams in a global
-   order (the hot ones last) have a prefix of s - ceil(t n) + 1: near sets share one within both prefixes.
+   order (the rarest first) have a prefix of s - ceil(t n) + 1: near sets share one within both prefixes.
 3. Sets are packed into R-tree nodes in the order of minwise hashes of their shared n-grams, so
    near ones lie together. Nodes that share a prefix n-gram are paired; no others can hold a near pair.
 4. Within a node and between paired nodes, points (the counts of the shared n-grams by group) are
@@ -41,10 +41,11 @@ THRESHOLD = 0.5
 LEAF = 16
 #: Members and n-grams of a node at the most (a single set may be larger).
 NODE, NODE_GRAMS = 512, 1 << 20
-#: n-grams counted on the spot, and n-grams of a range that one task sorts.
+#: n-grams taken at once, and n-grams of a range that one task sorts.
 CHUNK, RANGE = 1 << 20, 4 << 20
-#: An n-gram that so many sets of a chunk have may be hot; so many hot ones are broadcast (0.5 MB).
-HOT_COUNT, HOT = 16, 1 << 16
+#: An n-gram that so many sets of a chunk (some 2,000) have may be hot; so many hot ones are broadcast (1 MB). That is room
+#: for all that a 200th of the sets have; of the others a range gets that share of the sets at the most.
+HOT_COUNT, HOT = 12, 1 << 17
 #: Guests that one copy of a node meets.
 GUESTS = 64
 LOW = np.uint64((1 << 48) - 1)
@@ -98,14 +99,13 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
         yield pa.concat_arrays(ids), sets
 
 
-def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the different sets of a chunk: set numbers, lengths, n-grams, and in how many of them each n-gram is."""
+def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the different sets of a chunk: set numbers, lengths, n-grams."""
     number = np.array([set_number(g) for g in sets], np.uint64)
     _, first = np.unique(number, return_index=True)
     first = first[number[first] > 0]
     flat = np.concatenate([sets[k] for k in first]) if len(first) else np.zeros(0, np.uint64)
-    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    return number[first], np.array([len(sets[k]) for k in first], np.int64), flat, count[inverse] if len(flat) else np.zeros(0, np.int64)
+    return number[first], np.array([len(sets[k]) for k in first], np.int64), flat
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -114,11 +114,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
     for ids, sets in _sets(batches, n):
         sid = np.array([set_number(g) for g in sets], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sid), bool)), ids, pa.array(sid), pa.array([len(g) for g in sets], pa.int32())], names=names)
-        _, _, flat, count = _distinct(sets)
+        flat = np.sort(_distinct(sets)[2])
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(flat)])
         many = np.flatnonzero(count >= HOT_COUNT)
         if len(many):
-            gram, first = np.unique(flat[many], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(gram), bool)), pa.nulls(len(gram), ids.type), pa.array(gram.view(np.int64)), pa.array(count[many][first].astype(np.int32))], names=names)
+            gram = flat[first[many]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(gram), bool)), pa.nulls(len(gram), ids.type), pa.array(gram.view(np.int64)), pa.array(count[many].astype(np.int32))], names=names)
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -140,13 +142,13 @@ def _items(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return flat, (at - at[0]) // size
 
 
-def _slices(key: np.ndarray, sid: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Occurrences ordered by key and sid as a row for each key: key, and sids, counts, n-grams (as they are, or their low 48 bits if those are given as bytes)."""
+def _slices(key: np.ndarray, sid: np.ndarray, *items: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Occurrences ordered by key and sid as a row for each key: key, and sids, counts, and the items of the occurrences."""
     run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
     keys = key[run]
     last = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True]) + 1
     ends = np.r_[run[1:], len(key)]
-    return keys[last - 1], [_binary(sid[run], last), _binary((ends - run).astype(np.int32), last), _binary(grams, ends[last - 1])]
+    return keys[last - 1], [_binary(sid[run], last), _binary((ends - run).astype(np.int32), last), *(_binary(x, ends[last - 1]) for x in items)]
 
 
 def _low(grams: np.ndarray) -> np.ndarray:
@@ -157,28 +159,24 @@ _SLICE = "part bigint, known boolean, sids binary, counts binary, grams binary"
 
 
 def _asked(batches: Iterator[pa.RecordBatch], n: int, bits: int, hot: object) -> Iterator[pa.RecordBatch]:
-    """Occurrences by range of hash. ``known`` slices, of all kinds of n-grams, only pass through and go to any range."""
+    """Occurrences by range of hash (their low 48 bits); those of hot n-grams, ``known``, go to ranges in turn and whole."""
     names = ["part", "known", "sids", "counts", "grams"]
-    shift = np.uint64(64 - bits)
     for turn, (_, sets) in enumerate(_sets(batches, n)):
-        number, size, flat, count = _distinct(sets)
+        number, size, flat = _distinct(sets)
         if not len(flat):
             continue
         sid = np.repeat(number, size)
         warm = np.isin(flat, hot.value)
-        known = warm | (count > 1)
-        witness = np.unique(flat[(count > 1) & ~warm])
-        grams, sids = np.r_[flat[~known], witness], np.r_[sid[~known], np.zeros(len(witness), np.uint64)]
-        part = (grams >> shift).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+        ask = np.flatnonzero(~warm)
+        part = (flat[ask] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ask), np.int64)
         order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
         if len(order):
-            keys, columns = _slices(part[order], sids[order], _low(grams[order]))
+            keys, columns = _slices(part[order], sid[ask][order], _low(flat[ask][order]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(keys), bool)), *columns], names=names)
-        if known.any():
-            kept = np.flatnonzero(known)
-            # in some hundred runs of sids, dealt over the ranges
-            key = np.minimum(np.arange(len(kept)) >> 16, 1 << 20) + turn * 8191 + int(number[0] >> np.uint64(40))
-            keys, columns = _slices(key, sid[kept], _ident(flat[kept], bits))
+        if warm.any():
+            # in runs of some sets, dealt over the ranges
+            key = (np.arange(int(warm.sum())) >> 14) + turn * 8191 + int(number[0] >> np.uint64(40))
+            keys, columns = _slices(key, sid[warm], _ident(flat[warm], bits))
             yield pa.RecordBatch.from_arrays([pa.array(keys % (1 << bits)), pa.array(np.ones(len(keys), bool)), *columns], names=names)
 
 
@@ -189,8 +187,13 @@ def _ident(grams: np.ndarray, bits: int) -> np.ndarray:
     return ((grams >> np.uint64(64 - bits)) << np.uint64(48) if bits else np.zeros(len(grams), np.uint64)) | grams & LOW
 
 
+def _level(count: np.ndarray) -> np.ndarray:
+    """A byte that grows with how many sets have an n-gram: exact below 64, then eight steps for each power of 2."""
+    return np.where(count < 64, count, np.minimum(64 + 8 * (np.log2(np.maximum(count, 64)) - 6), 250)).astype(np.uint8)
+
+
 def _shared(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Of slices sorted by range: the occurrences of n-grams that two sets have, by bucket of set numbers."""
+    """Of slices sorted by range: the occurrences of n-grams that two sets have, with their level, by bucket of set numbers."""
     for batch, starts in groups(batches, "part"):
         part = batch.column("part").to_numpy()
         known = batch.column("known").to_numpy(zero_copy_only=False)
@@ -198,12 +201,13 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Itera
         counts, _ = _items(batch.column("counts"), np.int32)
         raw, g_at = _items(batch.column("grams"), np.uint8)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            out_sid, out_gram = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            asked = np.flatnonzero(~known[a:b]) + a
             sid = [np.repeat(sids[s_at[k] : s_at[k + 1]], counts[s_at[k] : s_at[k + 1]]) for k in range(a, b)]
+            owns, grams, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
             for k in np.flatnonzero(known[a:b]) + a:
-                out_sid.append(sid[k - a])
-                out_gram.append(np.frombuffer(raw[g_at[k] : g_at[k + 1]].tobytes(), np.uint64))
+                owns.append(sid[k - a])
+                grams.append(np.frombuffer(raw[g_at[k] : g_at[k + 1]].tobytes(), np.uint64))
+                levels.append(np.zeros(len(owns[-1]), np.uint8))
+            asked = np.flatnonzero(~known[a:b]) + a
             if len(asked):
                 own = np.concatenate([sid[k - a] for k in asked])
                 low = np.zeros((len(own), 8), np.uint8)
@@ -216,29 +220,31 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Itera
                 gram, own = gram[more], own[more]
                 order = np.lexsort((own, gram))
                 gram, own = gram[order], own[order]
-                new = np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])] if len(gram) else np.zeros(0, bool)
+                new = np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])][: len(gram)]
                 gram, own = gram[new], own[new]
-                same = gram[1:] == gram[:-1]
-                two = (np.r_[same, False] | np.r_[False, same]) & (own > 0) if len(gram) else np.zeros(0, bool)
-                out_sid.append(own[two])
-                high = np.uint64(int(part[a]) << 48) if bits < 16 else np.uint64((int(part[a]) >> (bits - 16)) << 48)
-                out_gram.append(gram[two] | high)
-            sid_, gram_ = np.concatenate(out_sid), np.concatenate(out_gram)
-            if len(sid_):
-                order = np.argsort(sid_, kind="stable")
-                sid_, gram_ = sid_[order], gram_[order]
-                keys, columns = _slices((sid_ % np.uint64(buckets)).astype(np.int64)[(o := np.argsort(sid_ % np.uint64(buckets), kind="stable"))], sid_[o], gram_[o])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *columns], names=["bucket", "sids", "counts", "grams"])
-
-
-def least_hash(flat: np.ndarray, at: np.ndarray, warm: np.ndarray, seed: int) -> np.ndarray:
-    """A minwise hash of each set, of its n-grams that aren't hot if it has such."""
-    v = textbuf.mix(flat ^ _B[seed]) >> np.uint64(1) | warm.astype(np.uint64) << np.uint64(63)
-    return np.minimum.reduceat(v, at[:-1])
+                first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+                count = np.diff(np.r_[first, len(gram)])
+                count = np.repeat(count, count)
+                two = count > 1
+                owns.append(own[two])
+                high = int(part[a]) << 48 if bits < 16 else (int(part[a]) >> (bits - 16)) << 48
+                grams.append(gram[two] | np.uint64(high))
+                levels.append(_level(count[two]))
+            own, gram, level = np.concatenate(owns), np.concatenate(grams), np.concatenate(levels)
+            if len(own):
+                bucket = (own % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((own, bucket))
+                keys, columns = _slices(bucket[order], own[order], gram[order], level[order])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *columns], names=["bucket", "sids", "counts", "grams", "levels"])
+
+
+def least_hash(flat: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A minwise hash of each set; none is empty."""
+    return np.minimum.reduceat(textbuf.mix(flat ^ _B[seed]), at[:-1])
 
 
 def _near_able(batches: Iterator[pa.RecordBatch], threshold: float, hot: object, bits: int) -> Iterator[pa.RecordBatch]:
-    """Of slices and sets sorted by bucket: the sets that can be near another, their shared n-grams in order.
+    """Of slices and sets sorted by bucket: the sets that can be near another, their shared n-grams in the global order.
 
     Their prefix has ``p`` of them; ``m1`` and ``m2`` are minwise hashes.
     """
@@ -250,16 +256,17 @@ def _near_able(batches: Iterator[pa.RecordBatch], threshold: float, hot: object,
         sids, s_at = _items(batch.column("sids"), np.uint64)
         counts, _ = _items(batch.column("counts"), np.int32)
         grams, g_at = _items(batch.column("grams"), np.uint64)
+        levels, _ = _items(batch.column("levels"), np.uint8)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             here = np.flatnonzero(is_set[a:b]) + a
             sid = np.repeat(sids[s_at[a] : s_at[b]], counts[s_at[a] : s_at[b]])
-            gram = grams[g_at[a] : g_at[b]]
+            gram, level = grams[g_at[a] : g_at[b]], levels[g_at[a] : g_at[b]]
             if not len(sid) or not len(here):
                 continue
             order = np.lexsort((gram, sid))
-            sid, gram = sid[order], gram[order]
+            sid, gram, level = sid[order], gram[order], level[order]
             new = np.r_[True, (sid[1:] != sid[:-1]) | (gram[1:] != gram[:-1])]
-            sid, gram = sid[new], gram[new]
+            sid, gram, level = sid[new], gram[new], level[new].astype(np.int64)
             first = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
             size = np.diff(np.r_[first, len(sid)])
             numbers = one[here].view(np.uint64)
@@ -270,14 +277,13 @@ def _near_able(batches: Iterator[pa.RecordBatch], threshold: float, hot: object,
             if not able.any():
                 continue
             keep = np.repeat(able, size)
-            gram, size, row, need = gram[keep], size[able], row[able], need[able]
+            gram, level, size, row, need = gram[keep], level[keep], size[able], row[able], need[able]
             at = np.r_[0, np.cumsum(size)]
-            spot = np.minimum(np.searchsorted(ranks[place], gram), max(len(ranks) - 1, 0))
-            warm = ranks[place][spot] == gram if len(ranks) else np.zeros(len(gram), bool)
-            # the global order: n-grams that aren't hot by hash, then the hot ones, the most frequent last
-            level = np.where(warm, len(ranks) - place[spot], 0) if len(ranks) else np.zeros(len(gram), np.int64)
+            if len(ranks):  # the hot ones last, the most frequent of them at the very end
+                spot = np.minimum(np.searchsorted(ranks[place], gram), len(ranks) - 1)
+                level = np.where(ranks[place][spot] == gram, 256 + len(ranks) - place[spot], level)
             order = np.lexsort((gram, level, np.repeat(np.arange(len(size)), size)))
-            hashes = [pa.array(least_hash(gram, at, warm, k).view(np.int64)) for k in (0, 1)]
+            hashes = [pa.array(least_hash(gram, at, k).view(np.int64)) for k in (0, 1)]
             take = pa.array(row)
             columns = [batch.column("sid").take(take), batch.column("rep").take(take), batch.column("n").take(take), batch.column("m").take(take), *hashes, pa.array((size - need + 1).astype(np.int32)), pa.array(size.astype(np.int32)), _binary(gram[order], at[1:])]
             yield pa.RecordBatch.from_arrays(columns, names=["sid", "rep", "n", "m", "m1", "m2", "p", "s", "grams"])
@@ -547,9 +553,9 @@ class Near:
         bits = max(0, int(np.ceil(np.log2(max(1, total / RANGE)))))
         buckets = 1 << bits
         asked = base.where(F.col("text").isNotNull()).mapInArrow(lambda it: _asked(it, n, bits, hot), _SLICE)
-        slices = asked.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _shared(it, bits, buckets), "bucket bigint, sids binary, counts binary, grams binary")
+        slices = asked.repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: _shared(it, bits, buckets), "bucket bigint, sids binary, counts binary, grams binary, levels binary")
         # unsigned remainders, as in _shared: buckets is a power of two
-        rows = self.sets.select(F.col("sid").bitwiseAND(buckets - 1).alias("bucket"), *[F.lit(None).cast("binary").alias(c) for c in ("sids", "counts", "grams")], "sid", "n", F.col("m").cast("int").alias("m"), "rep")
+        rows = self.sets.select(F.col("sid").bitwiseAND(buckets - 1).alias("bucket"), *[F.lit(None).cast("binary").alias(c) for c in ("sids", "counts", "grams", "levels")], "sid", "n", F.col("m").cast("int").alias("m"), "rep")
         slices = slices.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("sid", "bigint"), ("n", "int"), ("m", "int"), ("rep", kind))])
         both = slices.unionByName(rows).repartition("bucket").sortWithinPartitions("bucket")
         able = written(both.mapInArrow(lambda it: _near_able(it, threshold, hot, bits), f"sid bigint, rep {kind}, n int, m int, m1 bigint, m2 bigint, p int, s int, grams binary"), "able")
