@@ -4,17 +4,19 @@ A pack has three limits at once: tokens, segments, and tokens that bear loss. Pa
 by the dot-product heuristic: of the examples that still fit, the next is the one whose
 demands, as shares of the limits, have the greatest dot product with what the pack has left.
 
-Examples are dealt by a hash of their id into rooms of about ``ROOM`` examples, packed apart
-from each other; a room leaves at most a few packs half full, whatever the size of the corpus.
+Examples are dealt by a hash of their id and demands into rooms of about ``ROOM`` examples, packed apart
+from each other; a room leaves at most a few packs half full, whatever the size of the corpus. Equal rows
+are counted before they are shuffled and dealt to rooms one by one, so no id fills a room.
 
-An example beyond a limit by itself is cut into parts of at most the token limit, each a
-placement of its own, so that nothing is lost; loss-bearing tokens and segments are shared out
-among the parts in order.
+A conversation beyond a limit is cut before a turn where it would exceed one, and at every ``TURNS``-th turn
+number, so that a conversation of any length is cut by many tasks; a turn beyond a limit by itself is cut by
+tokens. Each part has the tokens, segments and loss-bearing tokens of the turns that it holds. Other
+examples beyond a limit (documents, whose tokens all bear loss) are cut into equal parts.
 
 Defined cases: an example with no tokens (null or empty text) is placed with 0 tokens and takes
-one segment; a null id is an id like others; negative or null demands count as 0; ties go to the
-example of more tokens, then the lower hash, id and part; equal ids are apart examples (their rows
-are told apart by their demands); an empty table gives no packs.
+one segment; a turn with a null conversation is an example by itself; other null ids are ids like others; a
+null turn number comes before all others; a role that isn't ``assistant`` bears no loss; negative or null demands count as 0; ties go to the
+example of more tokens, then the lower hash, id and part; equal rows are examples apart; an empty table gives no packs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from shelfmark.session import written
 
 TOKENS, SEGMENTS, LOSS = 4096, 16, 3072
 ROOM = 2048
+TURNS = 1024
 
 
 def pack_room(demand: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
@@ -76,10 +79,10 @@ def split_parts(tokens: int, segments: int, loss: int, limits: tuple[int, int, i
 
 
 def _pack(batches: Iterator[pa.RecordBatch], limits: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """Of (room, hash, id, tokens, segments, loss) sorted: the placements of each room."""
+    """Of (room, hash, id, first_turn, first, tokens, segments, loss) sorted: the placements of each room."""
     for batch, starts in ngram_join.groups(batches, "room"):
         room = batch.column("room").to_numpy()
-        t, s, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tokens", "segments", "loss"))
+        t, s, x, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tokens", "segments", "loss", "first"))
         rows, part, first, demand, packs = [], [], [], [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             own = [(k, p, *cut) for k in range(a, b) for p, cut in enumerate(split_parts(int(t[k]), int(s[k]), int(x[k]), limits))]
@@ -92,23 +95,28 @@ def _pack(batches: Iterator[pa.RecordBatch], limits: tuple[int, int, int]) -> It
             first += [o[2] for o in own]
         if rows:
             d = np.concatenate(demand)
-            columns = [pa.array(room[rows]), pa.array(np.concatenate(packs)), batch.column("id").take(pa.array(rows)), pa.array(part, pa.int32()), pa.array(first, pa.int64()), *(pa.array(d[:, k]) for k in range(3))]
-            yield pa.RecordBatch.from_arrays(columns, names=["room", "pack", "id", "part", "first_token", "tokens", "segments", "loss_tokens"])
+            ids, turn = (batch.column(c).take(pa.array(rows)) for c in ("id", "first_turn"))
+            columns = [pa.array(room[rows]), pa.array(np.concatenate(packs)), ids, turn, pa.array(part, pa.int32()), pa.array(begin[rows] + np.array(first, np.int64)), *(pa.array(np.ascontiguousarray(d[:, k])) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["room", "pack", "id", "first_turn", "part", "first_token", "tokens", "segments", "loss_tokens"])
 
 
-def pack(examples: DataFrame, id_col: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), room: int = ROOM, expected: int | None = None) -> DataFrame:
+def pack(examples: DataFrame, id_col: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), room: int = ROOM) -> DataFrame:
     """Placements of examples (id, tokens, segments, loss_tokens): room, pack, id, part, first_token, tokens, segments, loss_tokens.
 
-    ``expected``: the number of examples, which is counted where it isn't known.
+    Examples that are parts of others may have ``first_turn`` and ``first_token``, where they begin; the placements then have ``first_turn`` too.
     """
     clean = [F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint").alias(a) for c, a in (("tokens", "tokens"), ("segments", "segments"), ("loss_tokens", "loss"))]
-    base = examples.select(F.col(id_col).alias("id"), *clean)
-    rooms = max(1, round((base.count() if expected is None else expected) / room))
+    parts = "first_turn" in examples.columns
+    where = [F.col("first_turn").cast("bigint"), F.col("first_token").cast("bigint").alias("first")] if parts else [F.lit(None).cast("bigint").alias("first_turn"), F.lit(0).cast("bigint").alias("first")]
+    base = examples.select(F.col(id_col).alias("id"), *where, *clean)
+    rooms = max(1, round(base.count() / room))
     kind = base.schema["id"].dataType.simpleString()
-    dealt = base.withColumn("hash", F.xxhash64("id")).withColumn("room", F.pmod("hash", F.lit(rooms)).cast("bigint"))
-    sorted_ = dealt.repartition("room").sortWithinPartitions("room", "hash", "id", "tokens", "segments", "loss")
-    schema = f"room bigint, pack bigint, id {kind}, part int, first_token bigint, tokens bigint, segments bigint, loss_tokens bigint"
-    return sorted_.mapInArrow(lambda it: _pack(it, limits), schema).withColumnRenamed("id", id_col)
+    each = base.groupBy(*base.columns).count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count")))
+    dealt = each.withColumn("hash", F.xxhash64(*base.columns, "copy")).withColumn("room", F.pmod("hash", F.lit(rooms)).cast("bigint")).drop("count", "copy")
+    sorted_ = dealt.repartition("room").sortWithinPartitions("room", "hash", "id", "first_turn", "first")
+    schema = f"room bigint, pack bigint, id {kind}, first_turn bigint, part int, first_token bigint, tokens bigint, segments bigint, loss_tokens bigint"
+    placed = sorted_.mapInArrow(lambda it: _pack(it, limits), schema)
+    return (placed if parts else placed.drop("first_turn")).withColumnRenamed("id", id_col)
 
 
 def token_counts(texts: DataFrame, text_col: str = "text", path: str = spiece.MODEL) -> DataFrame:
@@ -127,16 +135,53 @@ def token_counts(texts: DataFrame, text_col: str = "text", path: str = spiece.MO
     return base.mapInArrow(run, f"{fields}, n_tokens bigint")
 
 
-def conversation_examples(turns: DataFrame, path: str = spiece.MODEL) -> DataFrame:
-    """Instruction data as examples: conv_id, tokens, segments (turns), loss_tokens (the assistant's tokens)."""
-    counted = token_counts(turns.select("conv_id", "role", "text"), path=path)
-    loss = F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(F.lit(0))
-    return counted.groupBy("conv_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum(loss).alias("loss_tokens"))
+def _cut(batches: Iterator[pa.RecordBatch], limits: tuple[int, int, int], joined: bool) -> Iterator[pa.RecordBatch]:
+    """Turns (conv_id, block, turn, n_tokens, loss) in order to parts within the limits; without ``joined`` each turn is cut by itself."""
+    names = ["conv_id", "first_turn", "first_token", "tokens", "segments", "loss_tokens"]
+    part, key = None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for conv, block, turn, n, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "turn", "n_tokens", "loss")), strict=True):
+            if part and (not joined or key != (conv, block) or part[3] + n > limits[0] or part[4] + 1 > limits[1] or part[5] + loss > limits[2]):
+                out.append(tuple(part))
+                part = None
+            key = (conv, block)
+            most = min(limits[0], limits[2]) if loss else limits[0]
+            if n > most:  # the turn by itself is beyond a limit
+                out += [(conv, turn, a, min(most, n - a), 1, min(most, n - a) if loss else 0) for a in range(0, n, most)]
+            elif part:
+                part[3:] = part[3] + n, part[4] + 1, part[5] + loss
+            else:
+                part = [conv, turn, 0, n, 1, loss]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field("conv_id").type if k == 0 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], names=names)
+        last = batch
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array([x], last.schema.field("conv_id").type if k == 0 else pa.int64()) for k, x in enumerate(part)], names=names)
+
+
+def conversation_examples(turns: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), path: str = spiece.MODEL) -> DataFrame:
+    """Instruction data as examples within the limits: conv_id, first_turn, first_token (of that turn), tokens, segments (turns), loss_tokens (the assistant's tokens).
+
+    Turns are counted once and written without their texts.
+    """
+    counted = token_counts(turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text"), path=path)
+    block = F.floor(F.coalesce("turn", F.lit(0)) / TURNS).alias("block")
+    counted = written(counted.select("conv_id", block, "turn", "n_tokens", F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(F.lit(0)).alias("loss")), "turns")
+    kind = counted.schema["conv_id"].dataType.simpleString()
+    schema = f"conv_id {kind}, first_turn bigint, first_token bigint, tokens bigint, segments bigint, loss_tokens bigint"
+    alone = counted.where("conv_id IS NULL").mapInArrow(lambda it: _cut(it, limits, False), schema)
+    sums = counted.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.when(F.bool_and(F.col("turn").isNotNull()), F.min("turn")).alias("first_turn"), F.lit(0).cast("bigint").alias("first_token"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
+    fit = (F.col("tokens") <= limits[0]) & (F.col("segments") <= limits[1]) & (F.col("loss_tokens") <= limits[2])
+    long = counted.join(sums.where(~fit).select("conv_id"), "conv_id", "left_semi")
+    order = ["conv_id", "block", "turn", "n_tokens", "loss"]
+    cut = long.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(lambda it: _cut(it, limits, True), schema)
+    return sums.where(fit).unionByName(cut).unionByName(alone)
 
 
 def pack_conversations(turns: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
-    """Placements of whole conversations; the examples are written once, then counted and packed."""
-    return pack(written(conversation_examples(turns), "examples"), "conv_id", limits)
+    """Placements of conversations; the examples are written once, then counted and packed."""
+    return pack(written(conversation_examples(turns, limits), "examples"), "conv_id", limits)
 
 
 def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:

@@ -84,6 +84,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def slot_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and bytes of each slot: what the map is rebalanced by."""
+    return sharding.slot_bytes(_table(spark, sf_dir, "documents"))
+
+
+SLOTS_SQL = f"""SELECT coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS}, 0)::INTEGER AS slot, count(*) AS records,
+sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS bytes FROM documents GROUP BY 1"""
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as captures: the fetch time is derived from the id, since the table has none."""
     second = F.lit(1672531200) + (F.col("page_id") * 7919 % 365) * 86400 + F.col("page_id") % 86400
@@ -116,9 +125,9 @@ FROM caps LEFT JOIN hits ON caps.page_id = hits.page_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The query of each operator."""
-    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op8_secret_scan": op8_secret_scan, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_ngram_join": op1_ngram_join, "op2_packing": op2_packing, "op3_sentencepiece": op3_sentencepiece, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_topk": op6_topk, "op7_fertility": op7_fertility, "op8_secret_scan": op8_secret_scan, "op9_sharding": op9_sharding, "slot_bytes": slot_bytes, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express."""
-    return {"op1_ngram_join": OP1_SQL, "op6_topk": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_topk": OP6_SQL, "slot_bytes": SLOTS_SQL, "op10_url_filter": OP10_SQL}

@@ -1,21 +1,25 @@
 """Sharding by fixed virtual slots.
 
 A record's slot is a hash of its id, so it never changes; what changes is the small map from
-slots to shards. The map is versioned: a new version copies the last one and moves as few
-slots as rebalancing needs.
+slots to shards. The map is stored, a folder for each version: a new version edits the last one,
+moving as few slots as rebalancing needs, and is written beside it.
 
 Defined cases: a null id has slot 0; equal ids share a slot; a null or empty text has 0
-bytes; an empty table gives an empty result and the first map; other columns are kept out of
+bytes; an empty table gives an empty result and leaves the map as it is; of equally heavy shards and of equally large slots the lower
+number is taken; a stored map of another number of slots is an error; other columns are kept out of
 the result, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.session import shared_dir
+
 SLOTS = 4096
 SHARDS = 32
 
@@ -83,34 +87,61 @@ def rebalance(current: list[int], load: dict[int, int], shards: int = SHARDS, to
     return new
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The versioned map: version, slot, shard."""
-    rows = [(v, s, shard) for v, m in enumerate(versions, 1) for s, shard in enumerate(m)]
-    return spark.createDataFrame(rows, "version int, slot int, shard int")
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of the map stored in a folder, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(at):
+        return []
+    names = [(f.getPath(), f.getPath().getName()) for f in fs.listStatus(at)]
+    return sorted(int(n.partition("=")[2]) for p, n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def plan(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS, tolerance: float = 0.05) -> DataFrame:
-    """Both map versions for a corpus: the equal one, and the one rebalanced by the bytes of all slots.
+def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
+    """The shard of each slot in a stored version."""
+    rows = spark.read.schema("slot int, shard int").parquet(f"{path}/version={version}").orderBy("slot").collect()
+    return [r["shard"] for r in rows]
 
-    What reaches the driver is one number for each slot, whatever the size of the corpus.
-    """
-    load = {r["slot"]: r["bytes"] for r in slot_bytes(docs, slots=slots).collect()}
-    one = first_map(slots, shards)
-    return map_table(docs.sparkSession, [one, rebalance(one, load, shards, tolerance)])
 
+def save_map(spark: SparkSession, path: str, version: int, mapping: list[int]) -> None:
+    """Write a version beside the others; one that is there already is an error, so two writers can't both make it."""
+    table = spark.createDataFrame(list(enumerate(mapping)), "slot int, shard int")
+    table.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
-def assign(docs: DataFrame, mapping: DataFrame, version: int, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """The slot and shard of each record under one version: id, slot, shard, version.
 
-    The map has ``slots`` rows for each version, so it is a literal array here and not a join.
+def advance(docs: DataFrame, path: str, slots: int = SLOTS, shards: int = SHARDS, tolerance: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> int:
+    """Edit the stored map by the bytes of all slots; the number of the version to use.
+
+    Without a stored map, the equal one is stored first. Where nothing has to move there is no new version. What
+    reaches the driver is one number for each slot, whatever the size of the corpus.
+    """
+    spark = docs.sparkSession
+    held = versions(spark, path)
+    if not held:
+        save_map(spark, path, 1, first_map(slots, shards))
+        held = [1]
+    last = load_map(spark, path, held[-1])
+    if len(last) != slots:
+        raise ValueError(f"the stored map has {len(last)} slots and not {slots}")
+    load = {r["slot"]: r["bytes"] for r in slot_bytes(docs, id_col, text_col, slots).collect()}
+    new = rebalance(last, load, shards, tolerance)
+    if new == last:
+        return held[-1]
+    save_map(spark, path, held[-1] + 1, new)
+    return held[-1] + 1
+
+
+def assign(docs: DataFrame, path: str, version: int, id_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """The slot and shard of each record under a stored version: id, slot, shard, version.
+
+    The map has ``slots`` rows, so it is broadcast.
     """
-    shard = {r["slot"]: r["shard"] for r in mapping.where(F.col("version") == version).collect()}
-    table = F.lit([shard.get(s, 0) for s in range(slots)])
-    slot = slot_of(F.col(id_col), slots)
-    return docs.select(F.col(id_col), slot.alias("slot"), F.element_at(table, slot + 1).cast("int").alias("shard"), F.lit(version).alias("version"))
+    table = docs.sparkSession.read.schema("slot int, shard int").parquet(f"{path}/version={version}")
+    placed = docs.select(F.col(id_col).alias("_id"), slot_of(F.col(id_col), slots).alias("slot"))
+    return placed.join(F.broadcast(table), "slot").select(F.col("_id").alias(id_col), "slot", "shard", F.lit(version).alias("version"))
 
 
-def shard_documents(docs: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
-    """Bytes by slot, a rebalanced map, and each document's place in it."""
-    mapping = plan(docs, slots, shards)
-    return assign(docs, mapping, 2, slots=slots)
+def shard_documents(docs: DataFrame, path: str | None = None, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
+    """Each document's place under the map stored at ``path``, which is edited by the documents' bytes; without a path a new one is stored."""
+    path = path or f"{shared_dir(docs.sparkSession)}/shard-map-{uuid.uuid4().hex}"
+    return assign(docs, path, advance(docs, path, slots, shards), slots=slots)

@@ -132,6 +132,22 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _due(v: Vocabulary, sym: np.ndarray, w: np.ndarray, rank: np.ndarray, at: np.ndarray, new: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether each of the merges ``low`` makes a pair, with the symbols beside it, of a rank no greater than its own."""
+    n = len(sym)
+    here, made, own = at[low], new[low], rank[at[low]]
+    joined = np.flatnonzero((low > 0) & (at[np.maximum(low - 1, 0)] == here - 2))
+    left = np.where(here > 0, sym[here - 1], -1)
+    left[joined] = new[low[joined] - 1]
+    back = np.where(here > 0, here - 1, 0)
+    out = np.zeros(len(low), bool)
+    for one, two, same in ((left, made, (here > 0) & (w[back] == w[here])), (made, sym[np.minimum(here + 2, n - 1)], (here + 2 < n) & (w[np.minimum(here + 2, n - 1)] == w[here]))):
+        k = np.flatnonzero(same)
+        slot = v.ranks(one[k], two[k])
+        out[k] |= (slot >= 0) & (np.where(slot >= 0, v.slot_rank[slot], NONE) <= own[k])
+    return out
+
+
 def merge_words(v: Vocabulary, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Final symbols of each word, in order: (symbols, word of each). ``word`` is ascending."""
     done_s, done_w = [], []
@@ -159,10 +175,19 @@ def merge_words(v: Vocabulary, symbols: np.ndarray, word: np.ndarray) -> tuple[n
         place = np.arange(len(at))
         at = at[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
         new = v.slot_merged[slot[at]]
-        if v.lowered[new].any():
-            alone = np.unique(w[at[v.lowered[new]]])
-            later = np.r_[False, w[at[1:]] == w[at[:-1]]] & np.isin(w[at], alone)
-            at, new = at[~later], new[~later]
+        low = np.flatnonzero(v.lowered[new])
+        if len(low):
+            # of a word's merges only those up to the first after which a lesser or equal pair is due
+            due = low[_due(v, sym, w, rank, at, new, low)]
+            if len(due):
+                _, first_due = np.unique(w[at[due]], return_index=True)
+                stop = due[first_due]
+                word_of = np.searchsorted(w[at[stop]], w[at])
+                held = word_of < len(stop)
+                held[held] = w[at[stop[word_of[held]]]] == w[at[held]]
+                later = np.zeros(len(at), bool)
+                later[held] = np.flatnonzero(held) > stop[word_of[held]]
+                at, new = at[~later], new[~later]
         sym[at] = new
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm import bloom
+
 #: The list of the production query: kind, pattern, action, day.
 ENTRIES = [
     ("domain", "cheap-pills.example.com", "add", "2023-02-01"),
@@ -64,8 +66,8 @@ def filter_captures(captures: DataFrame, log: DataFrame, id_col: str = "page_id"
     """Every capture with what blocked it: id, url, fetched_at, blocked, kind, pattern, listed_at.
 
     A capture's candidates are its host, each parent domain of the host, and its host and path; they
-    meet the intervals in an equi-join, with the fetch time as a residual range condition. Only
-    candidates that some interval names can match, so the rest of a hot host costs no join output. Of
+    meet the intervals in an equi-join, with the fetch time as a residual range condition. A Bloom filter of 32 MB
+    at the most holds back candidates that no interval names, so that a hot host or domain isn't shuffled. Of
     several active entries the one listed first is named, then the lower kind and pattern.
     """
     base = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))
@@ -76,6 +78,8 @@ def filter_captures(captures: DataFrame, log: DataFrame, id_col: str = "page_id"
     spread = base.withColumn("key", F.explode(F.array_distinct(keys)))
     spans = intervals(log).select(F.concat_ws(":", "kind", "pattern").alias("key"), "kind", "pattern", "valid_from", "valid_to")
     active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+    # keys that no interval has aren't shuffled, such as the bare "com" that a third of all captures may have
+    spread = spread.where(bloom.maybe_in(spans.select("key").distinct(), F.col("key")))
     hits = spread.join(spans, "key").where(active).groupBy(F.col("id").alias("m_id"), F.col("url").alias("m_url"), F.col("fetched_at").alias("m_at"))
     matched = hits.agg(F.min(F.struct("valid_from", "kind", "pattern")).alias("hit"))
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("url") == F.col("m_url")) & (F.col("fetched_at") == F.col("m_at"))

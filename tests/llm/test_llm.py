@@ -1,5 +1,6 @@
 """The ten operators and the pipeline: against SQL, brute force, libraries, and on awkward tables."""
 
+import hashlib
 import random
 import re
 
@@ -228,14 +229,95 @@ def test_packing_against_brute_force():
     assert packing.pack_room(demand, (1000, 8, 600)).tolist() == slow_pack(demand.tolist(), (1000, 8, 600))
 
 
-def test_conversations_whole_and_within_limits(spark):
-    got = queries.op2_packing(spark, DIR)
-    turns = spark.read.parquet(f"{DIR}/conversations.parquet")
-    whole = {r["conv_id"]: (r["tokens"], r["segments"], r["loss_tokens"]) for r in packing.conversation_examples(turns).collect()}
-    sums = {r["conv_id"]: (r["t"], r["l"]) for r in got.groupBy("conv_id").agg(F.sum("tokens").alias("t"), F.sum("loss_tokens").alias("l")).collect()}
-    assert sums == {k: (t, x) for k, (t, _, x) in whole.items()}
-    for r in got.groupBy("room", "pack").agg(*[F.sum(c).alias(c) for c in ("tokens", "segments", "loss_tokens")]).collect():
-        assert r["tokens"] <= packing.TOKENS and r["segments"] <= packing.SEGMENTS and r["loss_tokens"] <= packing.LOSS
+def library_counts(texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=spiece.MODEL)
+    return [len(lib.encode(t or "")) for t in texts]
+
+
+def slow_parts(turns, limits):
+    """Examples of (conv_id, turn, role, text) in plain Python: (conv_id, first turn, first token, tokens, segments, loss)."""
+    held = {}
+    for k, ((conv, turn, role, _), n) in enumerate(zip(turns, library_counts([t[3] for t in turns]), strict=True)):
+        held.setdefault(conv if conv is not None else f"alone {k}", []).append((turn, n, n if role == "assistant" else 0))
+    out = []
+    for key, own in held.items():
+        conv = None if isinstance(key, str) else key
+        own.sort(key=lambda x: (x[0] is not None, x))
+        if sum(x[1] for x in own) <= limits[0] and len(own) <= limits[1] and sum(x[2] for x in own) <= limits[2]:
+            out.append((conv, own[0][0], 0, sum(x[1] for x in own), len(own), sum(x[2] for x in own)))
+            continue
+        part, block = None, None
+        for turn, n, loss in own:
+            most = min(limits[0], limits[2]) if loss else limits[0]
+            if part and (n > most or block != (turn or 0) // packing.TURNS or part[3] + n > limits[0] or part[4] == limits[1] or part[5] + loss > limits[2]):
+                out.append(tuple(part))
+                part = None
+            block = (turn or 0) // packing.TURNS
+            if n > most:
+                out += [(conv, turn, a, min(most, n - a), 1, min(most, n - a) if loss else 0) for a in range(0, n, most)]
+            elif part:
+                part[3:] = part[3] + n, part[4] + 1, part[5] + loss
+            else:
+                part = [conv, turn, 0, n, 1, loss]
+        if part:
+            out.append(tuple(part))
+    return out
+
+
+def check_packs(got, limits, id_col):
+    """Placements of each room are those that the plain loop gives for its examples in their order."""
+    rooms = {}
+    for r in got:
+        rooms.setdefault(r["room"], []).append(r)
+    for own in rooms.values():
+        sums = {}
+        for r in own:
+            sums.setdefault(r["pack"], []).append((r["tokens"], r["segments"], r["loss_tokens"]))
+        assert all(sum(x[k] for x in held) <= limits[k] for held in sums.values() for k in range(3))
+        demand = [(r["tokens"], r["segments"], r["loss_tokens"]) for r in sorted(own, key=lambda r: -r["tokens"])]
+        packs = slow_pack(demand, limits)
+        slow = sorted(sorted(d for d, p in zip(demand, packs, strict=True) if p == k) for k in set(packs))
+        assert sorted(sorted(x) for x in sums.values()) == slow
+
+
+def awkward_turns(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice(("the", "answer", "is", "forty", "two", "naïve", "x9")) for _ in range(n))
+    turns = [(c, k, ("user", "assistant")[k % 2], text(r.randrange(0, 9))) for c in range(12) for k in range(r.randrange(1, 5))]
+    turns += [(50, k, "user" if k < 6 else "assistant", text(8)) for k in range(12)]
+    turns += [(51, 0, "assistant", text(200)), (51, 1, "user", text(200)), (51, 2, "assistant", None), (52, None, None, "hi"), (52, 3000, "assistant", text(5)), (52, 3, "user", text(30))]
+    turns += [(None, 1, "assistant", "alone")] * 3 + [(None, None, "user", text(90)), (60, 0, "user", ""), (60, 0, "user", "")]
+    return turns, spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").withColumn("room", F.lit(1)).withColumn("tokens", F.lit("x"))
+
+
+def test_conversations_against_brute_force(spark):
+    limits = (60, 6, 40)
+    turns, df = awkward_turns(spark)
+    got = packing.pack_conversations(df, limits).collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    have = sorted(((r["conv_id"], r["first_turn"], r["first_token"], r["tokens"], r["segments"], r["loss_tokens"]) for r in got), key=key)
+    assert have == sorted(slow_parts(turns, limits), key=key)
+    check_packs(got, limits, "conv_id")
+    assert packing.pack_conversations(df.where(F.lit(False))).collect() == []
+
+
+def test_whole_conversations_query_against_brute_force(spark):
+    got = queries.op2_packing(spark, DIR).collect()
+    turns = [tuple(r) for r in spark.read.parquet(f"{DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    limits = (packing.TOKENS, packing.SEGMENTS, packing.LOSS)
+    assert sorted((r["conv_id"], r["first_turn"], r["first_token"], r["tokens"], r["segments"], r["loss_tokens"]) for r in got) == sorted(slow_parts(turns, limits))
+    check_packs(got, limits, "conv_id")
+
+
+def test_equal_rows_fill_no_room(spark):
+    df = spark.range(600).select(F.lit(None).cast("bigint").alias("id"), F.lit(5).alias("tokens"), F.lit(1).alias("segments"), F.lit(0).alias("loss_tokens"))
+    got = packing.pack(df, "id", (50, 16, 50), room=100).collect()
+    rooms = {}
+    for r in got:
+        rooms[r["room"]] = rooms.get(r["room"], 0) + 1
+    assert len(got) == 600 and len(rooms) == 6 and max(rooms.values()) < 160
 
 
 # 3
@@ -423,6 +505,30 @@ def test_slots_and_rebalancing(spark, docs):
     assert sum(r["bytes"] for r in sharding.slot_bytes(docs).collect()) == sum(len(r["text"].encode()) for r in docs.collect())
 
 
+def test_a_grown_corpus_edits_the_stored_map(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/map"
+    some = docs.where("doc_id % 3 = 0")
+    one = sharding.advance(some, path, 64, 4)
+    held = {v: sharding.load_map(spark, path, v) for v in sharding.versions(spark, path)}
+    assert one == max(held) == 2 and held[1] == sharding.first_map(64, 4)
+    load = {r["slot"]: r["bytes"] for r in sharding.slot_bytes(some, slots=64).collect()}
+    assert held[2] == sharding.rebalance(held[1], load, 4)
+    got = {r["doc_id"]: (r["slot"], r["shard"], r["version"]) for r in sharding.shard_documents(docs, path, 64, 5).collect()}
+    grown = {r["slot"]: r["bytes"] for r in sharding.slot_bytes(docs, slots=64).collect()}
+    third = sharding.rebalance(held[2], grown, 5)
+    assert sharding.versions(spark, path) == [1, 2, 3] and sharding.load_map(spark, path, 3) == third
+    assert {v: sharding.load_map(spark, path, v) for v in (1, 2)} == held
+    want = {d: int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) % 64 for d in got}
+    assert got == {d: (s, third[s], 3) for d, s in want.items()} and len(got) == docs.count()
+    assert sharding.advance(docs, path, 64, 5) == 3
+    with pytest.raises(ValueError):
+        sharding.advance(docs, path, 32, 5)
+
+
+def test_rebalancing_breaks_ties_by_the_lower_number():
+    assert sharding.rebalance([0, 0, 0, 0, 1, 2], {0: 5, 1: 5, 2: 5, 3: 5}, 3) == sharding.rebalance([0, 0, 0, 0, 1, 2], {0: 5, 1: 5, 2: 5, 3: 5}, 3) == [1, 2, 0, 0, 1, 2]
+
+
 # 10
 
 
@@ -433,6 +539,7 @@ def test_intervals_hold_as_of_the_fetch(spark):
     got = sorted((r["page_id"], r["blocked"]) for r in url_lists.filter_captures(df, log).collect())
     assert got == [(1, True), (1, True), (2, False), (3, True), (4, False), (5, False), (6, False), (7, False)]
     assert not any(r["blocked"] for r in url_lists.filter_captures(df, url_lists.entries(spark, [])).collect())
+    assert url_lists.filter_captures(df.where(F.lit(False)), log).collect() == []
 
 
 # pipeline
