@@ -1,6 +1,7 @@
 """Personal data by weak supervision.
 
-Candidates for spans are found over whole texts. Labelers - strict formats, check digits,
+Candidates for spans are found over whole texts: runs of a type's form, and two capitalised words
+where the first is a known given name or a form of address stands before them. Labelers - strict formats, check digits,
 gazetteers, the words around, the edges of the span - each vote for, against, or abstain. Vote
 patterns are counted over all documents; expectation-maximisation on the counts estimates, for
 each labeler and type, how often it is right, and gives each pattern a probability. A logistic
@@ -76,6 +77,14 @@ _NUMBER = re.compile(
     r")|(?<!\w)(?P<plus>\((?:\d{2,4})\) ?\d{3,4}[ .-]\d{3,4}(?!\w))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Titles and forms of address: a name after one is a candidate whatever the given name is.
+TITLES = frozenset("mr mrs ms miss dr prof sir dear herr frau monsieur madame mme señor señora sr sra don doña".split())
+#: The same where the name is told: "name is", "named", "signed".
+TELLING = ("my name is", "name:", "named", "signed", "signed by", "je m'appelle", "ich heiße", "me llamo", "mi nombre es", "mein name ist", "mon nom est")
+#: Words, as runs of ASCII letters, of which one is in every form of address but "señor" and "señora".
+_ADDRESS = {t for t in TITLES if t.isascii()} | {"name", "named", "signed", "appelle", "hei", "llamo", "nombre", "nom"}
+_TITLE_HASH = np.sort(textbuf.words(*textbuf.column(pa.array([" ".join(sorted(_ADDRESS))])))[0])
+_BEFORE = re.compile(r"(?:\b(?:" + "|".join(sorted(TITLES)) + r")\.?|" + "|".join(re.escape(x) for x in TELLING) + r")\s+$")
 #: Matches nothing but looks ahead, so that a title or the first word of a sentence doesn't take the name after it along.
 _PERSON = re.compile(r"(?<!\w)(?=([A-Z]\w+)( (?:[A-Z]\.? )?[A-Z]\w+)(?!\w))")
 
@@ -95,8 +104,13 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def addressed(text: str, start: int) -> bool:
+    """Whether a title or the like stands before a place."""
+    return _BEFORE.search(text[max(0, start - 24) : start].lower()) is not None
+
+
 def candidates(text: str, named: bool = True) -> list[tuple[int, int, str]]:
-    """Spans that may be personal data: (start, end, type), disjoint and in order. ``named``: given names occur."""
+    """Spans that may be personal data: (start, end, type), disjoint and in order. ``named``: given names or forms of address occur."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
@@ -106,7 +120,7 @@ def candidates(text: str, named: bool = True) -> list[tuple[int, int, str]]:
     if any(c.isdigit() for c in text):
         found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
     if named:
-        found += [(m.start(1), m.end(2), "person") for m in _PERSON.finditer(text) if m[1].lower() in GIVEN]
+        found += [(m.start(1), m.end(2), "person") for m in _PERSON.finditer(text) if m[1].lower() in GIVEN or addressed(text, m.start(1)) and m[1].lower() not in TITLES]
     found.sort(key=lambda x: (x[0], TYPES.index(x[2])))
     out, end = [], 0
     for span in found:
@@ -139,7 +153,7 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
         check = 1 if luhn(digits) else 0
         gazetteer = 1 if re.match(r"4|5[1-5]|2[2-7]|3[47]|6011|65", digits) else 0
     elif kind == "ssn":
-        form = 1
+        form = -1 if len(set(digits)) == 1 or digits in "0123456789" else 1
         check = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     elif kind == "phone":
         form = 1 if 9 <= len(digits) <= 15 and ("+" in span or "(" in span or re.search(r"\d[ .-]\d", span)) else -1
@@ -148,9 +162,11 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
         form = 1 if 15 <= len(span.replace(" ", "")) <= 34 else -1
         check = 1 if iban_valid(span) else -1
     else:
-        form = 1 if re.fullmatch(r"[A-Z][a-z]+(?: [A-Z]\.)? [A-Z][a-z'-]+", span) else -1
-        gazetteer = 1
+        form = 1 if re.fullmatch(r"[^\W\d_]+(?: [A-Z]\.?)? [^\W\d_]+", span) and not span.isupper() else -1
+        gazetteer = 1 if re.match(r"\w+", span)[0].lower() in GIVEN else -1
     words = set(re.findall(r"[^\W\d_]+", near))
+    if kind == "person":
+        words |= {"name"} if addressed(text, start) else set()
     context = 1 if any(c in words or any(w.startswith(c) for w in words if len(c) > 3) for c in _CUES[kind]) else 0
     if kind != "person" and any(w in words for w in _AGAINST):
         context = -1
@@ -238,7 +254,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, ridg
 
 
 def _hits(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, str, bool]]:
-    """Rows that may have candidates: number, text, whether a given name occurs. Others are passed over by their bytes."""
+    """Rows that may have candidates: number, text, whether a given name or a form of address occurs. Others are passed over by their bytes."""
     values = batch.column(at)
     data, offsets = textbuf.column(values)
     for i, j in textbuf.chunks(offsets):
@@ -250,6 +266,11 @@ def _hits(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, str, bool]]:
         named = np.zeros(j - i, bool)
         near = np.minimum(np.searchsorted(_GIVEN_HASH, h), len(_GIVEN_HASH) - 1)
         named[row[_GIVEN_HASH[near] == h]] = True
+        near = np.minimum(np.searchsorted(_TITLE_HASH, h), len(_TITLE_HASH) - 1)
+        named[row[_TITLE_HASH[near] == h]] = True
+        if len(part) > 2:  # the end of "señor"
+            tilde = np.flatnonzero((part[:-2] == 0xC3) & ((part[1:-1] == 0xB1) | (part[1:-1] == 0x91)) & ((part[2:] | 0x20) == 111))
+            named[np.searchsorted(local, tilde, side="right") - 1] = True
         # the Kelvin sign is a k in lower case
         kelvin = np.flatnonzero((part[:-2] == 0xE2) & (part[1:-1] == 0x84) & (part[2:] == 0xAA)) if len(part) > 2 else []
         named[np.searchsorted(local, kelvin, side="right") - 1] = True

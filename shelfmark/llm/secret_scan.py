@@ -1,18 +1,21 @@
 """Secret scans with a character convolutional network in numpy.
 
-Candidates are all runs of key-like characters of at least ``LEAST`` characters with a digit, found
-over whole texts; the network sees each with the characters around it. One convolution over
+Candidates are the values of assignments to key-like names, whatever their length and characters, and all other
+runs of at least ``LEAST`` key-like characters with a digit or a capital inside (a shorter or plainer run
+without a name has nothing that tells it from a word); they are found over whole texts, and
+the network sees each with the characters around it. One convolution over
 character embeddings, the maximum over the span and the maximum over its surroundings, and a
 logistic output: small enough to be trained here, on labelled findings.
 
 Scores are calibrated on held-out findings (Platt's sigmoid), and the threshold is the highest
-that still has a recall of ``RECALL`` there.
+that still has a recall of ``RECALL`` there; a held-out secret that is no candidate counts as missed.
 
 Labelled findings may be given as rows of (before, candidate, after, label); else they are made by a
 seeded generator of key formats (hex, base64, prefixed keys, signed tokens, passwords in
-assignments) and of look-alikes (checksums, UUIDs, versions, paths, numbers, identifiers, data).
+assignments of 6 to 32 characters) and of look-alikes (checksums, UUIDs, versions, paths, numbers, identifiers, data,
+and plain values of such assignments).
 
-Defined cases: null and empty texts have no candidates; a candidate longer than ``WIDEST`` is judged by
+Defined cases: null and empty texts have no candidates; a run within the value of a named assignment is part of that; a candidate longer than ``WIDEST`` is judged by
 the highest score of its windows of that width, and reported whole; a result row is a candidate that scores at or
 above the threshold, or with ``everything`` each candidate; null ids are kept; equal rows report alike; other
 columns don't take part. The secret itself is never in the result, only its place and a digest.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,19 +60,55 @@ _SYMBOL[32:127] = np.arange(1, 96)
 _SYMBOL[:32] = 96
 
 
-def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of candidates in the bytes of many texts; edge punctuation isn't part of one."""
+_NAME = re.compile(rb"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|credentials?|auth(?:orization)?|(?:api|access|private|client|secret|encryption|signing)[ _-]?key|[a-z0-9]_key|(?<![a-z])key)")
+_VALUE = re.compile(rb"""[A-Za-z0-9_]{0,24}["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}(?:(?:Bearer|Basic)[ ]+)?(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{4,}))""")
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of key-like characters; edge punctuation isn't part of one."""
     s, e = textbuf.spans(_KEY[data], offsets[:-1])
     keep = e - s >= LEAST
     s, e = s[keep], e[keep]
     for _ in range(3):  # trailing dots and dashes, and the sign of an assignment
         s = s + np.isin(data[s], np.frombuffer(b"=.-/~", np.uint8))
         e = e - np.isin(data[e - 1], np.frombuffer(b".-/~", np.uint8)) if len(e) else e
-    digits = np.r_[0, np.cumsum(_DIGIT[data])]
-    keep = (e - s >= LEAST) & (digits[np.maximum(e, s)] > digits[s])
+    marks = _DIGIT[data]
+    upper = (data >= 65) & (data < 91)
+    if len(data):
+        marks[1:] |= upper[1:] & (data[:-1] >= 97) & (data[:-1] < 123)  # a capital after a small letter
+    marks = np.r_[0, np.cumsum(marks)]
+    keep = (e - s >= LEAST) & (marks[np.maximum(e, s)] > marks[np.minimum(s + 1, len(data))] - _DIGIT[data[s]])
     return s[keep], e[keep]
 
 
+def _named(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """The values of assignments to key-like names; none goes over the end of its text."""
+    raw, out = data.tobytes(), []
+    for m in _NAME.finditer(raw):
+        k = int(np.searchsorted(offsets, m.start(), side="right"))
+        end = int(offsets[k])
+        if m.end() <= end and (v := _VALUE.match(raw, m.end(), end)):
+            a, b = v.span(v.lastindex)
+            out.append((a, b))
+    return out
+
+
+def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of candidates in the bytes of many texts, in order."""
+    s, e = _runs(data, offsets)
+    named = np.array(sorted(set(_named(data, offsets))), np.int64).reshape(-1, 2)
+    if len(named):
+        # names within a value, and runs within one, are part of it
+        ends = np.maximum.accumulate(named[:, 1])
+        named = named[np.r_[True, named[1:, 1] > ends[:-1]]]
+        k = np.searchsorted(named[:, 0], s, side="right") - 1
+        inside = (k >= 0) & (e <= named[np.maximum(k, 0), 1])
+        s, e = np.r_[s[~inside], named[:, 0]], np.r_[e[~inside], named[:, 1]]
+        order = np.lexsort((e, s))
+        s, e = s[order], e[order]
+    return s, e
+
+
 def windows(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates as parts of at most WIDEST bytes, one every STEP bytes and one at the end: number of the candidate, start, end."""
     count = np.maximum(0, -(-(e - s - WIDEST) // STEP)) + 1
@@ -127,7 +167,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x, size) + self.shift, -30, 30)))
 
 
-def train_network(x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int = 6, seed: int = 5, recall: float = RECALL) -> Network:
+def train_network(x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int = 6, seed: int = 5, recall: float = RECALL, found: np.ndarray | None = None) -> Network:
     """Adam on three quarters of the findings; calibration and threshold on the rest."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
@@ -165,12 +205,15 @@ def train_network(x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int =
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 params[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
             net.out_bias = float(params[4][0])
-    calibrate(net, x[held], size[held], y[held], recall)
+    calibrate(net, x[held], size[held], y[held], recall, None if found is None else found[held])
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, size: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-    """Platt's sigmoid by Newton's method, with his soft targets; then the highest threshold of that recall."""
+def calibrate(net: Network, x: np.ndarray, size: np.ndarray, y: np.ndarray, recall: float = RECALL, found: np.ndarray | None = None) -> None:
+    """Platt's sigmoid by Newton's method, with his soft targets; then the highest threshold of that recall.
+
+    ``found``: which findings are candidates; the others are missed at any threshold.
+    """
     raw = net.raw(x, size)
     up, down = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
@@ -179,8 +222,9 @@ def calibrate(net: Network, x: np.ndarray, size: np.ndarray, y: np.ndarray, reca
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         w = w - np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2), design.T @ (p - target))
     net.scale, net.shift = float(w[0]), float(w[1])
-    right = np.sort(net.probability(x, size)[y > 0])
-    net.threshold = float(min(right[int(len(right) * (1 - recall))], 0.9)) if len(right) else 0.5
+    right = net.probability(x, size)
+    right = np.sort((right if found is None else np.where(found, right, 0))[y > 0])
+    net.threshold = float(right[int(len(right) * (1 - recall))]) if len(right) else 0.5
 
 
 def _word(r: random.Random) -> str:
@@ -207,10 +251,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
     for k in range(count):
         secret = k % 2 == 0
         if secret:
-            kind = r.randrange(6)
-            body = [lambda: hexa(r.choice((32, 40, 40, 48, 64))), lambda: base64.b64encode(r.randbytes(r.randint(18, 48))).decode(), lambda: r.choice(("sk_live_", "pk_", "ghp_", "AKIA", "xoxb-", "key-", "AIza")) + text(r.randint(16, 36), chars), lambda: "eyJ" + text(30, chars) + "." + text(30, chars) + "." + text(20, chars), lambda: text(r.randint(16, 40), chars), lambda: text(r.randint(16, 32), chars + "_-~")][kind]()
+            kind = r.randrange(8)
+            body = [lambda: hexa(r.choice((32, 40, 40, 48, 64))), lambda: base64.b64encode(r.randbytes(r.randint(18, 48))).decode(), lambda: r.choice(("sk_live_", "pk_", "ghp_", "AKIA", "xoxb-", "key-", "AIza")) + text(r.randint(16, 36), chars), lambda: "eyJ" + text(30, chars) + "." + text(30, chars) + "." + text(20, chars), lambda: text(r.randint(16, 40), chars), lambda: text(r.randint(16, 32), chars + "_-~"), *[lambda: r.choice((text(r.randint(8, 15), chars), text(r.randint(8, 20), chars + "!@#$%^&*"), r.choice(plain).title() + text(r.randint(2, 5), string.digits + "!@#$") + text(r.randint(2, 6), chars)))] * 2][kind]()
             named = kind not in (2, 3) or r.random() < 0.6
-            lead = r.choice(names) + r.choice((" = ", "=", ": ", ' = "', '="', "='", ' : "', " ")) if named else r.choice((" ", '"', "'", "= "))
+            lead = r.choice(names) + r.choice((" = ", "=", ": ", ' = "', '="', "='", ' : "', *[" "] * (len(body) > 24))) if named else r.choice((" ", '"', "'", "= "))
         else:
             body = [
                 lambda: hexa(r.choice((32, 40, 64))),
@@ -225,10 +269,10 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
                 lambda: _word(r) + _word(r) + _word(r) + _word(r) + str(r.randint(0, 9)),
                 lambda: f"{_word(r)}.{r.randint(1, 99)}" + "." + _word(r) + ".example.com",
                 lambda: "=" * r.randint(10, 20) + str(r.randint(1, 9)) + "-" * 10,
-            ][r.randrange(12)]()
-            lead = r.choice(plain) + r.choice((" ", ": ", "=", ' "', "/")) if r.random() < 0.6 or len(body) in (32, 40, 64) else r.choice((" ", " ", "@", "\n"))
-        while len(body) < LEAST or not any(c.isdigit() for c in body):
-            body += str(r.randint(0, 9))
+                *[lambda: r.choice(("required", "optional", "None", "true", "false", "null", "changed", "string", "expired", "enabled", "os.environ", "getpass()", "${TOKEN}", "<secret>", "********", "config.token", "see below", _word(r), _word(r) + _word(r), " ".join(_word(r) for _ in range(3))))] * 4,
+                lambda: _word(r).title() + _word(r).title() + _word(r).title() + _word(r).title() + _word(r).title(),
+            ][which := r.randrange(17)]()
+            lead = r.choice(names) + r.choice((" = ", "=", ": ", ' = "', '="')) if 12 <= which < 16 else r.choice(plain) + r.choice((" ", ": ", "=", ' "', "/")) if r.random() < 0.6 or len(body) in (32, 40, 64) else r.choice((" ", " ", "@", "\n"))
         close = '"' if '"' in lead else "'" if "'" in lead else ""
         head, tail = prose() + r.choice((" ", "\n", ". ")) + lead, close + r.choice((" ", "\n", ", ", "!! ", ". ")) + prose()
         if r.random() < 0.15:
@@ -245,6 +289,18 @@ def views_of(rows: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndar
     return view(data, s, s + size, offsets[:-1], offsets[1:]), size, np.array([y for *_, y in rows], float)
 
 
+def candidate_of(rows: list[tuple[str, str, str, int]]) -> np.ndarray:
+    """Whether a candidate of the finding's text overlaps the finding."""
+    data, offsets = textbuf.column(pa.array([a + b + c for a, b, c, _ in rows], pa.string()))
+    start = offsets[:-1] + np.array([len(a.encode()) for a, _, _, _ in rows], np.int64)
+    end = start + np.array([len(b.encode()) for _, b, _, _ in rows], np.int64)
+    s, e = find(data, offsets)
+    row = np.searchsorted(offsets, s, side="right") - 1
+    out = np.zeros(len(rows), bool)
+    out[row[(s < end[row]) & (e > start[row])]] = True
+    return out
+
+
 def train(findings: DataFrame | None = None, most: int = FINDINGS, recall: float = RECALL) -> Network:
     """A network trained on ``most`` labelled findings (before, candidate, after, label), those of least hash."""
     if findings is None:
@@ -252,7 +308,7 @@ def train(findings: DataFrame | None = None, most: int = FINDINGS, recall: float
     else:
         named = findings.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("before", "candidate", "after")], F.col("label").cast("int").alias("label")).where("label IS NOT NULL")
         rows = [tuple(r) for r in named.orderBy(F.xxhash64("before", "candidate", "after"), "before", "candidate", "after", "label").limit(most).collect()]
-    return train_network(*views_of(rows), recall=recall)
+    return train_network(*views_of(rows), recall=recall, found=candidate_of(rows))
 
 
 def scan_texts(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

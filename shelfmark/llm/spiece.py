@@ -208,7 +208,7 @@ def merge_words(v: Vocabulary, symbols: np.ndarray, word: np.ndarray) -> tuple[n
     return s[order], w[order]
 
 
-def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code point and first byte of each character of UTF-8 bytes."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
     wide = np.r_[data, np.zeros(3, np.uint8)].astype(np.int32)
@@ -240,7 +240,7 @@ def encode_spans(v: Vocabulary, data: np.ndarray, s: np.ndarray, e: np.ndarray)
     """Pieces of each span of bytes, in order: (ids, number of ids of each span)."""
     length = e - s
     flat = textbuf.gather(data, s, length)
-    code, at = _characters(flat)
+    code, at = characters(flat)
     word = np.repeat(np.arange(len(s)), length)[at]
     sym = v.char_id[code]
     # a character that has no symbol never merges: as itself it gets a number of its own below 0

@@ -357,6 +357,60 @@ def test_names_after_titles_and_sentence_starts():
         (s, e, kind), = pii.candidates(text)
         assert kind == "person" and text[s:e].split()[0] in ("John", "James") and text[s:e].split()[-1] in ("Smith", "Brown")
     assert [x[:2] for x in pii.candidates("Maria John Smith")] == [(0, 10)]
+    for text in ("Dear Xenobia Quill,", "Señora Ximena Ortiz dijo", "my name is Oluwaseun Adeyemi", "SEÑOR Ximeno Ortiz", "Signed: no\nsigned Zed Quux"):
+        assert [x[2] for x in pii.candidates(text)] == ["person"]
+    assert pii.candidates("The Quick Brown Fox. Monday Morning. Dear Mr") == []
+
+
+def test_redaction_against_brute_force(spark, docs):
+    """Every row without passing any over, patterns counted one by one, expectation-maximisation in plain Python."""
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "Dear Xenobia Quill, call +44 20 7946 0958."), (-2, None), (-3, "")], "doc_id bigint, text string"))
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    counts, spans = {}, set()
+    for t in texts.values():
+        for s, e, kind in pii.candidates(t or ""):
+            v = pii.votes(t, s, e, kind)
+            key = (pii.TYPES.index(kind), tuple(v))
+            counts[key] = counts.get(key, 0) + 1
+            spans.add((*key, tuple(pii.features(t, s, e, kind, v))))
+    types, labelers = range(len(pii.TYPES)), range(len(pii.LABELERS))
+    right, wrong, prior = [[0.8] * len(labelers) for _ in types], [[0.2] * len(labelers) for _ in types], [0.5 for _ in types]
+
+    def posterior(k, v):
+        yes, no = prior[k], 1 - prior[k]
+        for j in labelers:
+            if v[j]:
+                yes *= right[k][j] if v[j] > 0 else 1 - right[k][j]
+                no *= wrong[k][j] if v[j] > 0 else 1 - wrong[k][j]
+        return yes / (yes + no)
+
+    for _ in range(60):
+        p = {key: posterior(*key) for key in counts}
+        new = [], [], []
+        for k in types:
+            own = [(key[1], counts[key], p[key]) for key in counts if key[0] == k]
+            for out, base, w in ((new[0], 0.8, lambda q: q), (new[1], 0.2, lambda q: 1 - q)):
+                out.append([(base * 10 + sum(c * w(q) for v, c, q in own if v[j] > 0)) / (10 + sum(c * w(q) for v, c, q in own if v[j])) for j in labelers])
+            new[2].append((5 + sum(c * q for _, c, q in own)) / (10 + sum(c for _, c, _ in own)))
+        right, wrong, prior = new
+    model = pii.train(df)
+    right, wrong = ([[min(max(x, 0.05), 0.95) for x in row] for row in m] for m in (right, wrong))
+    prior = [min(max(x, 0.1), 0.9) for x in prior]
+    assert np.allclose(model.right, right) and np.allclose(model.wrong, wrong) and np.allclose(model.prior, prior)
+    # the classifier is where the loss is flat
+    more, label = pii.every_pattern(np.array(right), np.array(wrong), np.array(prior))
+    x = np.c_[np.r_[np.array([f for *_, f in spans]), more], np.ones(len(spans) + len(more))]
+    y = np.r_[[posterior(k, v) for k, v, _ in spans], label]
+    w = np.r_[np.full(len(spans), 1 / len(spans)), np.full(len(more), 1 / len(more))] / 2
+    assert np.abs(x.T @ (w * (1 / (1 + np.exp(-x @ model.weights)) - y)) + 1e-4 * model.weights).max() < 1e-7
+    got = {r["doc_id"]: (r["text"], [tuple(s) for s in r["spans"]]) for r in pii.redact(df, model).collect()}
+    for k, t in texts.items():
+        found = [c for c in pii.candidates(t or "") if 1 / (1 + np.exp(-np.dot(model.weights, [*pii.features(t, *c, pii.votes(t, *c)), 1]))) > pii.THRESHOLD]
+        out = t
+        for s, e, kind in reversed(found):
+            out = out[:s] + f"[{kind.upper()}]" + out[e:]
+        assert got[k] == (out, found)
+    assert got[-1][0] == "Dear [PERSON], call [PHONE]." and got[-2] == (None, []) and got[-3] == ("", [])
 
 
 def test_no_text_with_candidates_is_passed_over(docs):
@@ -446,19 +500,58 @@ def test_top_k_of_a_query_set_with_names_as_ids_and_hot_ties(spark):
 # 7
 
 
-def test_measures_against_the_libraries(spark, docs):
+def test_measures_and_verdicts_against_brute_force(spark, docs):
+    """All measures by the libraries, bands by sorting, verdicts document by document."""
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=fertility.PIECES)
-    got = {r["doc_id"]: r for r in fertility.quality(docs).collect()}
-    for r in docs.collect():
-        ids = lib.encode(r["text"])
-        m = got[r["doc_id"]]
-        if m["tokens"]:
+    more = [(10**6 + k, t, lang) for k, (t, lang) in enumerate([("Слово за словом", None), ("слово", ""), ("a", "en"), ("日本語のテキスト", None), ("\U0001f9ff" * 30, "en"), ("", "en"), (" \n", "fr"), (None, None), ("zz " * 400, "en")])]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(more, "doc_id bigint, text string, lang string")).repartition(3)
+    got = {r["doc_id"]: r for r in fertility.quality(df).collect()}
+    second = fertility._ranks(fertility.RANKS)
+    measured, script = {}, {10**6: "cyrillic", 10**6 + 1: "cyrillic", 10**6 + 3: "kana"}
+    for r in df.collect():
+        text, k = r["text"] or "", r["doc_id"]
+        ids = lib.encode(text) if text.strip() else []
+        m = got[k]
+        assert m["tokens"] == len(ids) and m["grp"] == (r["lang"] or "script:" + script.get(k, "none"))
+        if ids:
             p = np.unique(ids, return_counts=True)[1] / len(ids)
-            assert m["tokens"] == len(ids) and abs(m["chars_per_token"] - len(r["text"]) / len(ids)) < 1e-9
-            assert abs(m["entropy"] + (p * np.log2(p)).sum()) < 1e-6
-    assert {r["doc_id"] for r in fertility.kept(docs).collect()} == {k for k, r in got.items() if r["keep"]}
+            fallback = sum(lib.is_byte(i) and lib.id_to_piece(i) not in ("<0x0A>", "<0x09>", "<0x0D>") for i in ids)
+            pieces = re.findall(r" [^ ]*|[^ ]+", text)
+            own = {"chars_per_token": len(text) / len(ids), "byte_share": fallback / len(ids), "entropy": -(p * np.log2(p)).sum()}
+            assert all(abs(m[c] - x) < 1e-6 for c, x in own.items()), (k, own, m)
+            assert pieces and 0 < m["chars_per_token_2"] <= len(text) and abs(len(text) / m["chars_per_token_2"] - len(second.encode_ordinary(text))) < 0.15 * len(ids) + 2
+            measured[k] = m
+    step = {"chars_per_token": 0.01, "byte_share": 0.001, "entropy": 0.02, "chars_per_token_2": 0.01}
+    held = {}
+    for m in measured.values():
+        for c in fertility.MEASURES:
+            for grp in (m["grp"], ""):
+                for octave in (int(np.log2(m["tokens"])), -1):
+                    held.setdefault((grp, c, octave), []).append(int(np.floor(m[c] / step[c] + 0.5)))
+
+    def lower_median(x):
+        return sorted(x)[(len(x) - 1) // 2]
+
+    def band(grp, c, octave):
+        own = held[grp, c, octave]
+        mid = lower_median(own)
+        a, b = mid * step[c], lower_median([abs(x - mid) for x in own]) * step[c]
+        wider = band(grp, c, -1) if octave >= 0 else band("", c, -1) if grp else None
+        if wider:
+            a, b = ((len(own) * x + fertility.PRIOR * y) / (len(own) + fertility.PRIOR) for x, y in zip((a, b), wider, strict=True))
+        return a, max(b, fertility.FLOOR[c])
+
+    for k, m in got.items():
+        why = [] if m["tokens"] else ["empty"]
+        for c in fertility.MEASURES if m["tokens"] else ():
+            mid, mad = band(m["grp"], c, int(np.log2(m["tokens"])))
+            room = fertility.K * mad * (1 + fertility.SHORT / m["tokens"])
+            why += [f"{c}_low"] * (fertility.SIDES[c][0] and m[c] < mid - room) + [f"{c}_high"] * (fertility.SIDES[c][1] and m[c] > max(mid + room, 3 * mid))
+        assert m["reasons"] == why and m["keep"] == (not why), (k, m, why)
+    assert any(r["reasons"] not in ([], ["empty"]) for r in got.values())
+    assert {r["doc_id"] for r in fertility.kept(df).collect()} == {k for k, r in got.items() if r["keep"]}
 
 
 # 8
@@ -489,6 +582,43 @@ def test_keys_in_the_middle_of_long_runs(spark):
     assert (e - s).tolist() == [20] + [64] * 19 and e[-1] == 500 and (np.diff(s[of == 2]) <= 8).all()
 
 
+def slow_score(net, symbols, size):
+    """The network's raw score of one view, position by position."""
+    inside = [secret_scan.CONTEXT <= k < secret_scan.CONTEXT + min(size, secret_scan.WIDEST) for k in range(secret_scan.WIDTH)]
+    steps = secret_scan.WIDTH - secret_scan.KERNEL + 1
+    act, core = [], []
+    for t in range(steps):
+        seen = [x for k in range(t, t + secret_scan.KERNEL) for x in [*net.embed[symbols[k]], float(inside[k])]]
+        act.append([max(0.0, sum(a * b for a, b in zip(seen, net.conv[:, f], strict=True)) + net.bias[f]) for f in range(secret_scan.FILTERS)])
+        core.append(inside[t + secret_scan.KERNEL // 2])
+    own, other = [a for a, c in zip(act, core, strict=True) if c], [a for a, c in zip(act, core, strict=True) if not c]
+    hidden = [max(a[f] for a in own) for f in range(secret_scan.FILTERS)] + [max(a[f] for a in other) for f in range(secret_scan.FILTERS)]
+    hidden += [sum(a[f] for a in own) / len(own) for f in range(secret_scan.FILTERS)] + [min(size, secret_scan.WIDEST) / secret_scan.WIDEST]
+    return sum(h * w for h, w in zip(hidden, net.out, strict=True)) + net.out_bias
+
+
+def test_scan_against_a_slow_twin(spark):
+    net = secret_scan.train()
+    texts = ["", None, "no key here", "password = hunter2!\nnext", "x" * 70 + " token: 'a b c d'", "AbCdEfGhIjKlMnOpQrSt and f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65.", "é password='ü1ü2' secret", "secret", "=token", "a/b/c-d-e-f-g-h-i-j"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").withColumn("row", F.lit(1)).repartition(2)
+    got = {(r["doc_id"], r["start"], r["length"]): r for r in secret_scan.scan(df, net, everything=True).collect()}
+    assert {(k, texts[k].encode()[len(texts[k][:s].encode()) :][:n].decode()) for k, s, n in got} == {(3, "hunter2!"), (4, "a b c d"), (5, "AbCdEfGhIjKlMnOpQrSt"), (5, "f6f4b6c25fd9db1a3d0f51bedd389b0833f73c65"), (6, "ü1ü2")}
+    for (k, s, n), r in got.items():
+        raw = texts[k].encode()
+        a = len(texts[k][:s].encode())
+        symbols = [int(secret_scan._SYMBOL[raw[a + p]]) if 0 <= a + p < len(raw) and p < n + secret_scan.CONTEXT else 0 for p in range(-secret_scan.CONTEXT, secret_scan.WIDTH - secret_scan.CONTEXT)]
+        p = 1 / (1 + np.exp(-(net.scale * slow_score(net, symbols, n) + net.shift)))
+        assert abs(r["score"] - p) < 1e-9 and r["secret"] == (p >= net.threshold) and r["sha256"] == hashlib.sha256(raw[a : a + n]).hexdigest()
+
+
+def test_secrets_of_the_query_are_caught(spark):
+    """The table's planted keys: 40 hexadecimal characters given to a token."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    planted = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    got = {(r["doc_id"], r["start"]) for r in queries.op8_secret_scan(spark, "/root/testdata/sf0.01").where("secret").collect()}
+    assert planted and len(planted & got) >= 0.98 * len(planted)
+
+
 # 9
 
 
