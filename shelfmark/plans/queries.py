@@ -15,6 +15,7 @@ from shelfmark.functions import shapes, text, vectors
 from shelfmark.operators import delta, dupes, search, semantic, stale, stats
 from shelfmark.operators.ordinal import with_ordinal
 from shelfmark.plans import documents
+from shelfmark.plans.similarity_sql import lcs_sql, partial_sql, profile_scores_sql, search_sql, shape_score_sql, shapes_sql, token_set_sql
 from shelfmark.session import written
 from shelfmark.streaming import watch
 
@@ -60,15 +61,6 @@ tok AS (SELECT file, line, unnest(regexp_extract_all(t, '{WORD}')) AS token FROM
 cnt AS (SELECT file, line, token, count(*) AS n FROM tok WHERE token IN (SELECT name FROM rec) GROUP BY ALL)"""
 
 
-def lcs_sql(a: str, b: str) -> str:
-    """SQL for the length of the longest common subsequence: rows of the usual table, folded."""
-    chars = f"list_transform(string_split({a}, ''), lambda c: [ord(c)])"
-    cell = f"list_append(done, CASE WHEN ord(substr({b}, j[1], 1)) = x[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], done[j[1]]) END)"
-    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda k: [k::INTEGER]), lambda done, j: {cell}, [0::INTEGER])"
-    table = f"list_reduce({chars}, lambda prev, x: {row}, list_transform(range(0, length({b}) + 1), lambda k: 0::INTEGER))"
-    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE ({table})[-1] END"
-
-
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of distinct spaced names."""
     names = inventory(spark, sf_dir).select(text.spaced(F.col("name")).alias("a")).distinct()
@@ -77,15 +69,8 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS = f"names AS (SELECT DISTINCT replace(name, '_', ' ') AS a FROM {INVENTORY}), pairs AS (SELECT l.a, r.a AS b FROM names l, names r)"
 FUZZY_SQL = f"WITH {PAIRS} SELECT a, b, round(200.0::DOUBLE * {lcs_sql('a', 'b')} / (length(a) + length(b)), 6) AS score FROM pairs"
-TOKEN_SET_SQL = f"""WITH {PAIRS},
-cut AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM pairs),
-sets AS (SELECT a, b, list_filter(x, lambda t: list_contains(y, t)) AS both_, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS l,
- array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS r FROM cut),
-m AS (SELECT *, length(array_to_string(both_, ' ')) AS s, {lcs_sql('l', 'r')} AS lcs FROM sets),
-g AS (SELECT *, CASE WHEN s > 0 THEN 1 ELSE 0 END AS gap, length(l) AS nl, length(r) AS nr FROM m)
-SELECT a, b, round(CASE WHEN s > 0 AND (l = '' OR r = '') THEN 100.0
- WHEN s = 0 THEN 100.0 - 100.0::DOUBLE * (nl + nr - 2 * lcs) / (nl + nr)
- ELSE greatest(100.0 - 100.0::DOUBLE * (nl + nr - 2 * lcs) / (2 * (s + gap) + nl + nr), 100.0 - 100.0::DOUBLE * (gap + nl) / (2 * s + gap + nl), 100.0 - 100.0::DOUBLE * (gap + nr) / (2 * s + gap + nr)) END, 6) AS score FROM g"""
+TOKEN_SET_SQL = f"WITH {PAIRS}, {token_set_sql('pairs', 'ts')} SELECT a, b, round(score, 6) AS score FROM ts"
+PARTIAL_SQL = f"WITH d AS (SELECT DISTINCT '{WANTED}' AS a, docstring AS b FROM {INVENTORY}), {partial_sql('d', 'pr')} SELECT b AS docstring, round(score, 6) AS score FROM pr"
 
 
 def fuzzy_ratio_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,14 +110,48 @@ def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_many(records, asked).select("query", "rank", "name", "file", "line", F.round("score", 6).alias("score"))
 
 
+FIND = "row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, file, line)"
+_ASKED = f"SELECT '{WANTED}' AS query"
+FIND_SQL = f"WITH {search_sql(INVENTORY, _ASKED, 1.0, 0.9)} SELECT name, file, line, round(score, 6) AS score FROM (SELECT *, {FIND} AS k FROM hit WHERE score >= 40) WHERE k <= 10"
+INTENT_SQL = FIND_SQL.replace("* 1.0,", "* 0.7,").replace("* 0.9))", "* 1.1))")
+FIND_MANY_SQL = f"""WITH {search_sql(INVENTORY, f"SELECT DISTINCT replace(name, '_', ' ') AS query FROM {INVENTORY}", 1.0, 0.9)}
+SELECT query, k::INTEGER AS rank, name, file, line, round(score, 6) AS score FROM (SELECT *, {FIND} AS k FROM hit WHERE score >= 40) WHERE k <= 10"""
+
+#: Signatures with defaults, markers, receivers, subscripts, modules and quotes.
+SIGNATURES = (
+    "(size: int) -> bool",
+    "(size: str, *args) -> bool",
+    "(self, size: int = 3, name: Optional[str] = None) -> list[int]",
+    "(a, b: dict[str, int], /, c: 'str')",
+    "(size: typing.Integer, *, flag: boolean = True) -> None",
+    "()",
+    "(cls, x: int, y: tuple[int, str]) -> pkg.Thing",
+    "(**options) -> object",
+    "(x=1, y: String = 'a') -> \"bool\"",
+)
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with signatures of all kinds."""
+    return inventory(spark, sf_dir).withColumn("signature", F.element_at(F.lit(list(SIGNATURES)), F.col("line") % len(SIGNATURES) + 1))
+
+
+_LISTED = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in SIGNATURES) + "]"
+VARIED = f"(SELECT * REPLACE (({_LISTED})[line % {len(SIGNATURES)} + 1] AS signature) FROM {INVENTORY})"
+SHAPES = f"sg AS (SELECT DISTINCT signature FROM {VARIED}), {shapes_sql('sg', 'sh')}"
+FIND_SIG_SQL = f"""WITH {SHAPES}, q AS (SELECT ['int'] AS params, 'bool' AS returns, true AS hint)
+SELECT file, line, sh.signature, {shape_score_sql("q", "sh")}::DOUBLE AS score FROM {VARIED} v JOIN sh ON sh.signature = v.signature, q"""
+SHAPE_SQL = f"WITH {SHAPES} SELECT file, line, array_to_string(params, ',') AS params, returns, hint AS has_return_hint FROM {VARIED} v JOIN sh ON sh.signature = v.signature"
+
+
 def find_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by signature shape, of all records."""
-    return search.scored(inventory(spark, sf_dir), "", SHAPE).select("file", "line", "signature", "score")
+    return search.scored(varied(spark, sf_dir), "", SHAPE).select("file", "line", "signature", "score")
 
 
 def shape_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shape of every record's signature."""
-    parsed = inventory(spark, sf_dir).select("file", "line", shapes.shape_udf("signature").alias("s"))
+    parsed = varied(spark, sf_dir).select("file", "line", shapes.shape_udf("signature").alias("s"))
     return parsed.select("file", "line", F.array_join("s.params", ",").alias("params"), "s.returns", "s.has_return_hint")
 
 
@@ -203,6 +222,16 @@ def dupe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.transform("members", lambda m: F.concat_ws(":", m["file"], m["line"].cast("string"))).alias("members"), "score", "size")
 
 
+SCORES = profile_scores_sql(INVENTORY, 75.0)
+ORDERED = "o AS (SELECT *, row_number() OVER (ORDER BY file, line, seq) - 1 AS ord FROM inv)"
+_SIDES = "{0}.name = {1}n AND {0}.docstring = {1}d AND {0}.signature = {1}sig"
+EDGES_SQL = f"WITH {SCORES}, {ORDERED} SELECT x.ord AS i, y.ord AS j, score FROM scored JOIN o x ON {_SIDES.format('x', 'a')} JOIN o y ON {_SIDES.format('y', 'b')} WHERE x.ord < y.ord"
+BEST_SQL = f"""WITH {SCORES}, met AS (SELECT x.file AS staged_file, x.line AS staged_line, y.file AS existing_file, y.line AS existing_line, score,
+ row_number() OVER (PARTITION BY x.file, x.line, x.seq, x.name, x.signature, x.docstring ORDER BY score DESC, y.file, y.line, y.seq) AS k
+ FROM scored JOIN inv x ON {_SIDES.format('x', 'a')} JOIN inv y ON {_SIDES.format('y', 'b')} WHERE x.file <> y.file)
+SELECT staged_file, staged_line, existing_file, existing_line, score FROM met WHERE k = 1"""
+
+
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows nearest to one vector."""
     held = _table(spark, sf_dir, "embeddings")
@@ -250,6 +279,26 @@ def find_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.find_document(search.find(inventory(spark, sf_dir), WANTED, sig=SHAPE), WANTED, SHAPE)
 
 
+def _json_list(item: str, rows: str, order: str) -> str:
+    return f"(SELECT coalesce(list({item} ORDER BY {order}), []) FROM ({rows}))"
+
+
+def _board(key: str, having: str = "", limit: str = "") -> str:
+    rows = f"SELECT {key}, count(*) AS n FROM inv GROUP BY {key} {having} ORDER BY n DESC, {key} {limit}"
+    return _json_list(f"struct_pack({key} := {key}, count := n)", rows, f"n DESC, {key}")
+
+
+STATS_JSON_SQL = f"""WITH inv AS (SELECT * FROM {INVENTORY})
+SELECT to_json(struct_pack(schema_version := 1, total_functions := (SELECT count(*) FROM inv), total_files := (SELECT count(DISTINCT file) FROM inv), top := 10,
+languages := {_board("lang")}, top_names := {_board("name", "HAVING count(*) >= 2", "LIMIT 10")}, biggest_files := {_board("file", "", "LIMIT 10")}))::VARCHAR AS value"""
+FIND_JSON_SQL = f"""WITH {search_sql(INVENTORY, _ASKED, 1.0, 0.9)}, sg AS (SELECT DISTINCT signature FROM inv), {shapes_sql("sg", "sh")}, q AS (SELECT ['int'] AS params, 'bool' AS returns, true AS hint),
+s AS (SELECT sh.signature, {shape_score_sql("q", "sh")}::DOUBLE AS s FROM sh, q),
+best AS (SELECT hit.* EXCLUDE (score), s, greatest(score, least(100.0, s)) AS score FROM hit JOIN s USING (signature)),
+top AS (SELECT * FROM best WHERE score >= 40 ORDER BY round(score, 9) DESC, file, line LIMIT 10)
+SELECT to_json(struct_pack(schema_version := 1, query := '{WANTED}', sig := '{SHAPE}', intent := false, semantic := false, count := (SELECT count(*) FROM top), results :=
+{_json_list("struct_pack(name := name, qualname := qualname, file := file, line := line, signature := signature, docstring := docstring, lang := lang, score := round(score, 1), breakdown := struct_pack(name := round(n, 1), doc := round(d, 1), sig := round(s, 1)))", "SELECT * FROM top", "round(score, 9) DESC, file, line")}))::VARCHAR AS value"""
+
+
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of each user's events."""
     found = watch.debounce_sessions(_table(spark, sf_dir, "events"), f"{GAP_S} seconds", keys=("user_id",))
@@ -280,7 +329,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that SQL expresses at a bearable cost."""
+    """SQL for all queries but ``dupe_clusters``, whose greedy linkage tests hold against plain Python."""
     board = f"SELECT {{0}}, count(*) AS n FROM {INVENTORY} GROUP BY 1"
     return {
         "stats_totals": f"SELECT count(*) AS total_functions, count(DISTINCT file) AS total_files, count(*) = 0 AS is_empty FROM {INVENTORY}",
@@ -292,8 +341,16 @@ def oracle_sql() -> dict[str, str]:
         "stale_counters": f"SELECT count(*) AS scanned, count(*) FILTER (WHERE name LIKE '%\\_box' ESCAPE '\\') AS ignored FROM {INVENTORY}",
         "fuzzy_ratio_names": FUZZY_SQL,
         "token_set_scores": TOKEN_SET_SQL,
-        "find_sig": f"SELECT file, line, signature, CASE WHEN signature LIKE '(size: int)%' THEN 100.0 ELSE 75.0 END::DOUBLE AS score FROM {INVENTORY}",
-        "shape_parse": f"SELECT file, line, regexp_extract(signature, ': (\\w+)', 1) AS params, regexp_extract(signature, '-> (\\w+)', 1) AS returns, true AS has_return_hint FROM {INVENTORY}",
+        "partial_ratio_docs": PARTIAL_SQL,
+        "find_name": FIND_SQL,
+        "find_intent": INTENT_SQL,
+        "find_many": FIND_MANY_SQL,
+        "find_sig": FIND_SIG_SQL,
+        "find_json": FIND_JSON_SQL,
+        "stats_json": STATS_JSON_SQL,
+        "shape_parse": SHAPE_SQL,
+        "pair_edges": EDGES_SQL,
+        "best_match_join": BEST_SQL,
         "reference_counts": MENTIONS + " SELECT file, line, token, n FROM cnt",
         "stale_candidates": STALE_SQL,
         "stale_lang_filter": STALE_SQL + " AND rec.lang = 'de'",
