@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right, insort
-from collections.abc import Iterator
 from heapq import merge
 
 import pandas as pd
@@ -39,19 +39,77 @@ def name_floor(threshold: float) -> float:
     return max(0.0, 2 * t - 100)
 
 
-def scored_profiles(pairs: DataFrame, a: str, b: str, threshold: float = 0.0) -> DataFrame:
-    """Pairs of profiles, columns prefixed ``a`` and ``b``, with their score; those that can't reach the threshold go.
+def _joined(words: Column) -> Column:
+    """The length of words joined by spaces."""
+    return F.length(F.array_join(words, " "))
 
-    Names, summaries and shapes are each scored once for each distinct pair of values.
+
+def common_characters(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common, in any order: the most that a common subsequence can have."""
+
+    def count(text_: Column, c: Column) -> Column:
+        return F.length(text_) - F.length(F.replace(text_, c, F.lit("")))
+
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
+def name_bound(x: Column, y: Column) -> Column:
+    """The most that the token-set ratio of two sets of words can be, by the characters that their rests have in common."""
+    shared = _joined(F.array_intersect(x, y))
+    l_rest, r_rest = F.array_join(F.array_except(x, y), " "), F.array_join(F.array_except(y, x), " ")
+    left, right = F.length(l_rest), F.length(r_rest)
+    gap = F.when(shared > 0, 1).otherwise(0)
+    la, lb = shared + gap + left, shared + gap + right
+    first = 100.0 - F.lit(100.0) * (left + right - 2 * common_characters(l_rest, r_rest)) / (la + lb)
+    second, third = 100.0 - F.lit(100.0) * (gap + left) / (shared + la), 100.0 - F.lit(100.0) * (gap + right) / (shared + lb)
+    full = F.least(left, right) == 0
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((shared > 0) & full, 100.0).when(shared == 0, first).otherwise(F.greatest(first, second, third))
+
+
+def name_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """Pairs of names (a of ``left``, b of ``right``) whose token-set ratio can reach ``floor``, and no pair lost that does.
+
+    Names meet by a common word, or else by their length: without one, a ratio of f needs lengths within
+    f / (200 - f) of each other, so it is within a class of lengths or the next. Pairs that the bound rules out go
+    before anything is scored.
+    """
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        # where Python's split cuts
+        words = F.array_distinct(F.filter(F.split(text.spaced(F.col(name)), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+        return df.select(name, words.alias(f"{name}_words")).withColumn(f"{name}_size", _joined(F.col(f"{name}_words")))
+
+    a, b = cut(left, "a"), cut(right, "b")
+    by_word = a.withColumn("key", F.explode("a_words")).join(b.withColumn("key", F.explode("b_words")), "key").drop("key")
+    share = floor / (200 - floor)
+    if share > 0:
+        step = F.lit(float(-math.log(share)) or 1.0)
+        place = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / step)
+        near = F.explode(F.array(place("b_size") - 1, place("b_size"), place("b_size") + 1))
+        by_size = a.withColumn("key", place("a_size")).join(b.withColumn("key", near), "key").drop("key")
+        by_size = by_size.where((F.col("a_size") >= share * F.col("b_size") - 1e-9) & (F.col("b_size") >= share * F.col("a_size") - 1e-9))
+    else:  # any two names can
+        by_size = a.withColumn("key", F.lit(0)).join(b.withColumn("key", F.lit(0)), "key").drop("key")
+    able = by_size.where(~F.arrays_overlap("a_words", "b_words")).unionByName(by_word.distinct())
+    return able.where(name_bound(F.col("a_words"), F.col("b_words")) >= floor - 1e-9).select("a", "b")
+
+
+def scored_profiles(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 0.0) -> DataFrame:
+    """Pairs of profiles, of ``left`` with columns prefixed ``a`` and of ``right`` with ``b``, that reach the threshold, with their score.
+
+    Names, summaries and shapes are each scored once for each distinct pair of values; names come first, and those
+    that can't bring a pair to the threshold aren't scored. What remains is joined to the profiles.
     """
-    named = pairs.select(f"{a}name", f"{b}name").distinct()
-    names = named.withColumn("_n", text.token_set_udf(text.spaced(F.col(f"{a}name")), text.spaced(F.col(f"{b}name")))).where(F.col("_n") >= name_floor(threshold))
-    left = pairs.join(names, [f"{a}name", f"{b}name"])
-    docs = left.select(f"{a}docstring", f"{b}docstring").where((F.col(f"{a}docstring") != "") & (F.col(f"{b}docstring") != "")).distinct()
+    floor = name_floor(threshold)
+    able = name_candidates(left.select(F.col(f"{a}name").alias("a")).distinct(), right.select(F.col(f"{b}name").alias("b")).distinct(), floor)
+    names = able.repartition("a", "b").withColumn("_n", text.token_set_udf(text.spaced(F.col("a")), text.spaced(F.col("b")))).where(F.col("_n") >= floor)
+    names = written(names.select(F.col("a").alias(f"{a}name"), F.col("b").alias(f"{b}name"), "_n"), "names")
+    met = left.join(names, f"{a}name").join(right, f"{b}name")
+    docs = met.select(f"{a}docstring", f"{b}docstring").where((F.col(f"{a}docstring") != "") & (F.col(f"{b}docstring") != "")).distinct()
     docs = docs.withColumn("_d", text.token_set_udf(f"{a}docstring", f"{b}docstring"))
-    sigs = left.select(f"{a}signature", f"{b}signature").distinct()
+    sigs = met.select(f"{a}signature", f"{b}signature").distinct()
     sigs = sigs.withColumn("_s", shapes.shape_score(shapes.shape_udf(f"{a}signature"), shapes.shape_udf(f"{b}signature")))
-    whole = left.join(docs, [f"{a}docstring", f"{b}docstring"], "left").join(sigs, [f"{a}signature", f"{b}signature"])
+    whole = met.join(docs, [f"{a}docstring", f"{b}docstring"], "left").join(sigs, [f"{a}signature", f"{b}signature"])
     scored = whole.withColumn("score", pair_score(F.col("_n"), F.col("_d"), F.col("_s")))
     return scored.where(F.col("score") >= threshold).drop("_n", "_d", "_s")
 
@@ -66,7 +124,7 @@ def pair_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     held = records.select("ord", *key)
     profiles = held.select(*key).distinct()
     a, b = (profiles.select(*[F.col(k).alias(f"{p}{k}") for k in key]) for p in ("a_", "b_"))
-    scored = written(scored_profiles(a.crossJoin(b), "a_", "b_", threshold), "profile-pairs")
+    scored = written(scored_profiles(a, b, "a_", "b_", threshold), "profile-pairs")
     left = held.select(F.col("ord").alias("i"), *[F.col(k).alias(f"a_{k}") for k in key])
     right = held.select(F.col("ord").alias("j"), *[F.col(k).alias(f"b_{k}") for k in key])
     return left.join(scored, [f"a_{k}" for k in key]).join(right, [f"b_{k}" for k in key]).where("i < j").select("i", "j", "score")
@@ -189,7 +247,7 @@ def assign_clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     held = records.select("ord", *key)
     profiles = held.groupBy(*key).agg(F.min("ord").alias("profile"))
     a, b = (profiles.select(*[F.col(k).alias(f"{p}{k}") for k in [*key, "profile"]]) for p in ("a_", "b_"))
-    scored = written(scored_profiles(a.crossJoin(b), "a_", "b_", threshold).select(F.col("a_profile").alias("i"), F.col("b_profile").alias("j"), "score"), "profile-pairs")
+    scored = written(scored_profiles(a, b, "a_", "b_", threshold).select(F.col("a_profile").alias("i"), F.col("b_profile").alias("j"), "score"), "profile-pairs")
     labels = components(scored)
     pairs = scored.join(labels.select(F.col("node").alias("i"), F.col("component").alias("part")), "i")
     owned = held.join(profiles, key).select("ord", F.col("profile").alias("node")).join(labels, "node")
@@ -213,18 +271,3 @@ def find_clusters(records: DataFrame, threshold: float = THRESHOLD, limit: int |
     out = grouped.select(clean.alias("members"), "score", F.size("m").alias("size"))
     ordered = out.orderBy(F.desc("size"), F.desc("score"), F.col("members")[0]["file"], F.col("members")[0]["line"])
     return ordered if limit is None else ordered.limit(max(0, limit))
-
-
-def pair_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scores of rows of two profiles in Python, the twin of ``scored_profiles`` for tests."""
-    for p in batches:
-        rows = []
-        for r in p.itertuples(index=False):
-            sig = shapes.shape_score_py(shapes.parse_signature(r.a_signature), shapes.parse_signature(r.b_signature))
-            parts = [(text.token_set_ratio(r.a_name.replace("_", " "), r.b_name.replace("_", " ")), NAME)]
-            if r.a_docstring and r.b_docstring:
-                parts.append((text.token_set_ratio(r.a_docstring, r.b_docstring), DOC))
-            if sig > 0:
-                parts.append((sig, SIG))
-            rows.append(round(min(100.0, sum(s * w for s, w in parts) / sum(w for _, w in parts)), 2))
-        yield p.assign(score=rows)

@@ -11,6 +11,8 @@ DEFAULT_IGNORE = ("__*__", "main", "test_*", "setUp", "tearDown", "setUpClass",
 #: Where Python's splitlines cuts.
 LINES = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 TOKEN = r"(?U)\w+"
+#: Runs of word characters and '$' that have a '$'.
+DOLLAR = r"(?U)[\w$]*\$[\w$]*"
 
 
 def lines(sources: DataFrame) -> DataFrame:
@@ -19,21 +21,31 @@ def lines(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.posexplode(cut).alias("at", "text"), F.size(cut).alias("n")).where("NOT (at = n - 1 AND text = '')").select("file", (F.col("at") + 1).alias("line"), "text")
 
 
+def _spread(sources: DataFrame) -> DataFrame:
+    """Sources dealt over all tasks where their scan has fewer splits than there are cores."""
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    return sources.repartition(cores * 2) if sources.rdd.getNumPartitions() < cores else sources
+
+
 def reference_counts(names: DataFrame, sources: DataFrame) -> DataFrame:
     """How often each line mentions each name: file, line, token, n.
 
     Words are cut out of each line and joined with the names, so the cost is that of the bytes and not
-    of bytes times names. Names with '$', which are no single word, are looked for one by one.
+    of bytes times names. A name with '$' is looked for in the runs that have its first word (or, of a
+    name of '$' alone, any '$'), where \\b holds at both of its ends.
     """
     wanted = names.select("name").where("name <> ''").distinct()
     plain, odd = wanted.where(~F.col("name").contains("$")), wanted.where(F.col("name").contains("$"))
-    text = lines(sources)
+    text = lines(_spread(sources))
     tokens = text.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
     found = tokens.join(plain.withColumnRenamed("name", "token"), "token", "left_semi")
     counted = found.groupBy("file", "line", "token").agg(F.count("*").alias("n"))
     # \b beside '$' needs a word character on its other side, or none beside a word character
     pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("name"), F.lit(r"\E\b"))
-    odd_hits = text.where(F.col("text").contains("$")).crossJoin(odd).where(F.col("text").contains(F.col("name")))
+    key = F.coalesce(F.nullif(F.regexp_extract("name", TOKEN, 0), F.lit("")), F.lit("$"))
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(DOLLAR), F.lit(0)))
+    held = text.where(F.col("text").contains("$")).select("file", "line", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("$")), F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(TOKEN), F.lit(0))))))).alias("key"))
+    odd_hits = held.join(odd.withColumn("key", key), "key").where(F.col("text").contains(F.col("name")))
     odd_counts = odd_hits.select("file", "line", F.col("name").alias("token"), F.regexp_count("text", pattern).cast("bigint").alias("n")).where("n > 0")
     return counted.select("file", "line", "token", "n").unionByName(odd_counts)
 

@@ -3,6 +3,8 @@
 import json
 import os
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from shelfmark.operators.ordinal import with_ordinal
 from shelfmark.plans import queries
 from shelfmark.schema import RECORD
 from shelfmark.session import drop_tables, tables_noted, written
-from shelfmark.sources import repo
+from shelfmark.sources import python_functions, repo, script_functions
 from shelfmark.streaming import watch
 
 ROWS = [
@@ -46,6 +48,35 @@ def test_pair_edges_against_all_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.011 for k in want)
 
 
+def test_no_pair_of_names_that_can_reach_the_floor_is_lost(spark):
+    r = random.Random(7)
+    words = ["get", "set", "user", "name", "a", "parse", "parser", "x1", "value_of", "é", "longerword", ""]
+    names = sorted({"_".join(r.choice(words) for _ in range(r.randrange(1, 4))) for _ in range(60)} | {"".join(r.choice("abcde") for _ in range(r.randrange(1, 12))) for _ in range(40)})
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    for floor in (0.0, 20.0, 49.99, 80.0, 100.0):
+        got = {(x["a"], x["b"]) for x in dupes.name_candidates(df, df.withColumnRenamed("a", "b"), floor).collect()}
+        want = {(a, b) for a in names for b in names if text.token_set_ratio(a.replace("_", " "), b.replace("_", " ")) >= floor}
+        assert want <= got and (floor < 40 or len(got) < 0.6 * len(names) ** 2)
+
+
+def test_mentions_of_names_with_dollars(spark):
+    names = ["$", "$$", "a$", "$a", "a$b", "ab", "$el", "x$1$", "é$"]
+    body = "a$b $a a$ ab$ $el.x $$ a $ x$1$ é$b a$b$a\nab ab (a$)\n$el$el\n\n a$ b a$$b"
+    got = {(r["line"], r["token"]): r["n"] for r in stale.reference_counts(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([("f", body)], "file string, content string")).collect()}
+    want = {(k, n): c for k, line in enumerate(body.split("\n"), 1) for n in names if (c := len(re.findall(rf"\b{re.escape(n)}\b", line)))}
+    assert got == want and len(want) > 8
+
+
+def test_scripts_are_scanned_in_linear_time_and_never_fail():
+    body = "class A {\n static async load<T>(url: string, n = 3): Promise<T> {\n return get(url) }\n}\nexport const add = (a, b) => a + b;\nlet one = x => x;\nfunction* gen(a /* c */) { if (a) { call(a) } }\nconst s = 'function no() {}';\n"
+    assert [(r[0], r[2], r[3]) for r in script_functions.parse(body, "a.ts")] == [("load", 2, "(url: string, n = 3): Promise<T>"), ("add", 5, "(a, b)"), ("one", 6, "(x)"), ("gen", 7, "(a /* c */)")]
+    for text_ in ("f(a);\n" * 30_000, "a<b(" * 30_000, "x(): [" * 30_000, "(" * 100_000, "`" * 9, "function f(", "\0"):
+        start = time.time()
+        assert script_functions.parse(text_, "a.js") == [] and time.time() - start < 20
+    assert python_functions.parse("x = " + "+".join("1" * 30_000) + "\ndef f(): pass\n", "a.py") == []
+    assert python_functions.parse("x = " + "(" * 5000, "a.py") == []
+
+
 def test_clusters(spark):
     found = dupes.find_clusters(records(spark)).collect()
     assert [sorted(m["name"] for m in c["members"]) for c in found] == [["parse_date_iso", "parse_iso", "parse_iso_date"]]
