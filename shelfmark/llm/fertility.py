@@ -84,6 +84,7 @@ def _ranks(path: str):
 #: Token counts of words seen by this worker, by vocabulary; emptied when it holds SEEN words.
 _seen: dict[str, dict[bytes, int]] = {}
 SEEN = 1 << 17
+textbuf.CACHES += [_ranks.cache_clear, _seen.clear]
 
 
 def _token_counts(path: str, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:

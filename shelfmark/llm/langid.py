@@ -275,6 +275,9 @@ def _load(key: str, holder: object) -> Model:
     return pickle.loads(holder.value)
 
 
+textbuf.CACHES.append(_load.cache_clear)
+
+
 class _Shipped:
     """A model as a broadcast variable of MODEL_BYTES at the most; loaded once in each worker."""
 

@@ -42,7 +42,7 @@ LEAF = 16
 #: Members and n-grams of a node at the most (a single set may be larger).
 NODE, NODE_GRAMS = 512, 1 << 20
 #: n-grams taken at once, and n-grams of a range that one task sorts.
-CHUNK, RANGE = 1 << 20, 4 << 20
+CHUNK, RANGE = 1 << 20, 2 << 20
 #: An n-gram that so many sets of a chunk (some 2,000) have may be hot; so many hot ones are broadcast (1 MB). That is room
 #: for all that a 200th of the sets have; of the others a range gets that share of the sets at the most.
 HOT_COUNT, HOT = 12, 1 << 17
@@ -110,6 +110,7 @@ def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """(hot, id, sid, n) of each text; rows with hot: n-grams of many sets of a chunk, and how many."""
+    textbuf.lean()
     names = ["hot", "id", "sid", "n"]
     for ids, sets in _sets(batches, n):
         sid = np.array([set_number(g) for g in sets], np.uint64).view(np.int64)
@@ -160,6 +161,7 @@ _SLICE = "part bigint, known boolean, sids binary, counts binary, grams binary"
 
 def _asked(batches: Iterator[pa.RecordBatch], n: int, bits: int, hot: object) -> Iterator[pa.RecordBatch]:
     """Occurrences by range of hash (their low 48 bits); those of hot n-grams, ``known``, go to ranges in turn and whole."""
+    textbuf.lean()
     names = ["part", "known", "sids", "counts", "grams"]
     for turn, (_, sets) in enumerate(_sets(batches, n)):
         number, size, flat = _distinct(sets)
@@ -194,6 +196,7 @@ def _level(count: np.ndarray) -> np.ndarray:
 
 def _shared(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of slices sorted by range: the occurrences of n-grams that two sets have, with their level, by bucket of set numbers."""
+    textbuf.lean()
     for batch, starts in groups(batches, "part"):
         part = batch.column("part").to_numpy()
         known = batch.column("known").to_numpy(zero_copy_only=False)
@@ -208,16 +211,18 @@ def _shared(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Itera
                 grams.append(np.frombuffer(raw[g_at[k] : g_at[k + 1]].tobytes(), np.uint64))
                 levels.append(np.zeros(len(owns[-1]), np.uint8))
             asked = np.flatnonzero(~known[a:b]) + a
+            own = np.concatenate([sid[k - a] for k in asked]) if len(asked) else None
+            del sid
             if len(asked):
-                own = np.concatenate([sid[k - a] for k in asked])
                 low = np.zeros((len(own), 8), np.uint8)
                 low[:, :6] = np.concatenate([raw[g_at[k] : g_at[k + 1]] for k in asked]).reshape(-1, 6)
                 gram = low.view(np.uint64).ravel()
+                del low
                 order = np.argsort(gram)
+                same = gram[order]
+                same = same[1:] == same[:-1]
+                order = order[np.r_[same, False] | np.r_[False, same]]
                 gram, own = gram[order], own[order]
-                same = gram[1:] == gram[:-1]
-                more = np.r_[same, False] | np.r_[False, same]
-                gram, own = gram[more], own[more]
                 order = np.lexsort((own, gram))
                 gram, own = gram[order], own[order]
                 new = np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])][: len(gram)]
@@ -248,6 +253,7 @@ def _near_able(batches: Iterator[pa.RecordBatch], threshold: float, hot: object,
 
     Their prefix has ``p`` of them; ``m1`` and ``m2`` are minwise hashes.
     """
+    textbuf.lean()
     ranks = _ident(hot.value, bits)
     place = np.argsort(ranks)
     for batch, starts in groups(batches, "bucket"):
@@ -507,6 +513,7 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float, whole: bool) ->
 
     Edges are those of a forest, or with ``whole`` all near pairs.
     """
+    textbuf.lean()
     host, key = None, None
     for batch in batches:
         hosts, salts = batch.column("host").to_numpy(), batch.column("salt").to_numpy()

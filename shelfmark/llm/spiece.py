@@ -132,6 +132,9 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(path)
 
 
+textbuf.CACHES.append(vocabulary.cache_clear)
+
+
 def _due(v: Vocabulary, sym: np.ndarray, w: np.ndarray, rank: np.ndarray, at: np.ndarray, new: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Whether each of the merges ``low`` makes a pair, with the symbols beside it, of a rank no greater than its own."""
     n = len(sym)
