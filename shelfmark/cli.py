@@ -131,7 +131,8 @@ def cmd_find(a: argparse.Namespace) -> int:
         from shelfmark.session import written
 
         vectors = written(semantic.embed_records(records, backend, cache), "vectors")
-        semantic.save_cache(vectors, stored, backend.name)
+        if cache is None or any(not df.isEmpty() for df in semantic.split_cache(records, cache)[1:]):
+            semantic.save_cache(vectors, stored, backend.name)
         hits = semantic.search(records, query, backend, vectors, a.limit)
     else:
         hits = search.find(records, query, a.limit, a.sig, a.intent)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import shapes, text
@@ -13,18 +13,6 @@ NAME_WEIGHT, DOC_WEIGHT, SIG_WEIGHT = 1.0, 0.9, 1.0
 INTENT_NAME_WEIGHT, INTENT_DOC_WEIGHT = 0.7, 1.1
 
 
-def name_score(query: Column, name: Column, qualname: Column) -> Column:
-    """The better similarity of the query with the name and the qualified name, spaced."""
-    own = text.token_set_udf(query, text.spaced(name))
-    other = F.when((qualname != "") & (qualname != name), text.token_set_udf(query, text.spaced(qualname)))
-    return F.greatest(own, other)
-
-
-def doc_score(query: Column, doc: Column) -> Column:
-    """How well part of a summary answers the query; null without a summary."""
-    return F.when(doc != "", text.partial_udf(query, doc))
-
-
 def blended(name: Column, doc: Column, sig: Column, intent: bool) -> Column:
     """The best weighted signal that applies, at most 100."""
     wn, wd = (INTENT_NAME_WEIGHT, INTENT_DOC_WEIGHT) if intent else (NAME_WEIGHT, DOC_WEIGHT)
@@ -42,19 +30,28 @@ def parts(breakdown: Column) -> Column:
 def scored(records: DataFrame, query: str = "", sig: str | None = None, intent: bool = False) -> DataFrame:
     """Records with breakdown (name, doc, sig; null: doesn't apply) and score.
 
-    Distinct (name, qualname, docstring, signature) are scored once and joined back, since the rows of
+    Each signal is scored once for each distinct text of its own, and joined back, since the rows of
     an inventory repeat them.
     """
     asked, has_query = query.strip(), bool(query.strip())
-    keys = ["name", "qualname", "docstring", "signature"]
-    distinct = records.select(*keys).distinct()
     nothing = F.lit(None).cast("double")
-    n = name_score(F.lit(asked), F.col("name"), F.col("qualname")) if has_query else nothing
-    d = doc_score(F.lit(asked), F.col("docstring")) if has_query else nothing
-    s = shapes.shape_score(shapes.shape_literal(sig), shapes.shape_udf("signature")) if sig else nothing
-    measured = distinct.select(*keys, n.alias("_n"), d.alias("_d"), s.alias("_s"))
-    lit = measured.select(*keys, F.struct(F.col("_n").alias("name"), F.col("_d").alias("doc"), F.col("_s").alias("sig")).alias("breakdown"), blended(F.col("_n"), F.col("_d"), F.col("_s"), intent).alias("score"))
-    return records.join(lit, keys)
+    found = records.withColumn("_n", nothing).withColumn("_d", nothing).withColumn("_s", nothing)
+    if has_query:
+        names = _names(records).withColumn("_v", text.token_set_udf(F.lit(asked), text.spaced(F.col("_text"))))
+        docs = records.select(F.col("docstring").alias("_text")).where("docstring <> ''").distinct().withColumn("_d", text.partial_udf(F.lit(asked), F.col("_text")))
+        own, other = names.select(F.col("_text").alias("name"), F.col("_v").alias("_own")), names.select(F.col("_text").alias("qualname"), F.col("_v").alias("_other"))
+        found = found.drop("_n", "_d").join(own, "name").join(other, "qualname", "left").join(docs.withColumnRenamed("_text", "docstring"), "docstring", "left")
+        found = found.withColumn("_n", F.greatest("_own", "_other")).drop("_own", "_other")
+    if sig:
+        shaped = records.select("signature").distinct().withColumn("_s", shapes.shape_score(shapes.shape_literal(sig), shapes.shape_udf("signature")))
+        found = found.drop("_s").join(shaped, "signature")
+    breakdown = F.struct(F.col("_n").alias("name"), F.col("_d").alias("doc"), F.col("_s").alias("sig"))
+    return found.select(*records.columns, breakdown.alias("breakdown"), blended(F.col("_n"), F.col("_d"), F.col("_s"), intent).alias("score"))
+
+
+def _names(records: DataFrame) -> DataFrame:
+    """The distinct names and qualified names: _text."""
+    return records.select(F.col("name").alias("_text")).union(records.select("qualname").where("qualname <> ''")).distinct()
 
 
 def find(records: DataFrame, query: str = "", limit: int = LIMIT, sig: str | None = None, intent: bool = False, min_score: float = FLOOR) -> DataFrame:
@@ -69,12 +66,14 @@ def find(records: DataFrame, query: str = "", limit: int = LIMIT, sig: str | Non
 
 def find_many(records: DataFrame, queries: DataFrame, limit: int = LIMIT, intent: bool = False, min_score: float = FLOOR) -> DataFrame:
     """Batch search: for each row of queries (query) its best matches, with rank."""
-    from pyspark.sql import Window
-
+    wn, wd = (INTENT_NAME_WEIGHT, INTENT_DOC_WEIGHT) if intent else (NAME_WEIGHT, DOC_WEIGHT)
     asked = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
-    keys = ["name", "qualname", "docstring"]
-    pairs = asked.crossJoin(records.select(*keys).distinct())
-    n, d = name_score(F.col("query"), F.col("name"), F.col("qualname")), doc_score(F.col("query"), F.col("docstring"))
-    lit = pairs.select("query", *keys, n.alias("_n"), d.alias("_d")).withColumn("score", blended(F.col("_n"), F.col("_d"), F.lit(None).cast("double"), intent)).where(F.col("score") >= min_score)
+    # the batch of queries meets each distinct text once; a text below the floor can't bring a record to it
+    named = _names(records).crossJoin(asked).withColumn("score", text.token_set_udf(F.col("query"), text.spaced(F.col("_text"))) * wn)
+    docs = records.select(F.col("docstring").alias("_text")).where("docstring <> ''").distinct().crossJoin(asked).withColumn("score", text.partial_udf(F.col("query"), F.col("_text")) * wd)
+    able = [df.where(F.col("score") >= min_score) for df in (named, named, docs)]
+    each = [records.join(df.withColumnRenamed("_text", column), column).select(*records.columns, "query", "score") for df, column in zip(able, ("name", "qualname", "docstring"), strict=True)]
+    best = each[0].unionByName(each[1]).unionByName(each[2])
+    best = best.groupBy("query", *records.columns).agg(F.least(F.lit(100.0), F.max("score")).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "file", "line", *(["seq"] if "seq" in records.columns else []))
-    return records.join(lit.drop("_n", "_d"), keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, limit))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, limit))

@@ -17,6 +17,7 @@ from shelfmark.operators.ordinal import with_ordinal
 from shelfmark.plans import documents
 from shelfmark.plans.similarity_sql import lcs_sql, partial_sql, profile_scores_sql, search_sql, shape_score_sql, shapes_sql, token_set_sql
 from shelfmark.session import written
+from shelfmark.sources import repo
 from shelfmark.streaming import watch
 
 WANTED, SHAPE, GAP_S = "azure blue box", "(int) -> bool", 600
@@ -299,6 +300,37 @@ SELECT to_json(struct_pack(schema_version := 1, query := '{WANTED}', sig := '{SH
 {_json_list("struct_pack(name := name, qualname := qualname, file := file, line := line, signature := signature, docstring := docstring, lang := lang, score := round(score, 1), breakdown := struct_pack(name := round(n, 1), doc := round(d, 1), sig := round(s, 1)))", "SELECT * FROM top", "round(score, 9) DESC, file, line")}))::VARCHAR AS value"""
 
 
+def parse_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of Python sources, one for each part: a class with two methods, one of which holds a function."""
+    body = F.concat(
+        F.lit("import os\n\nclass Box:\n    async def "), F.translate("p_name", " ", "_"), F.lit("(self, size: int = "), F.col("p_size").cast("string"), F.lit(', *args, **kw) -> bool:\n        """\n        '),
+        F.col("p_type"), F.lit("\n\n        More.\"\"\"\n        def inner(a, /, b='x', *, c): return a\n\n    def last(self): pass\n"),
+    )
+    held = _table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_partkey", F.lit(".py")).alias("path"), body.alias("content"))
+    return repo.parse_sources(held)
+
+
+PARSE_PYTHON_SQL = """WITH f AS (SELECT p_brand || '/' || p_partkey || '.py' AS file, replace(p_name, ' ', '_') AS n, p_size, p_type FROM part)
+SELECT n AS name, file, 4 AS line, '(self, size: int = ' || p_size || ', *args, **kw) -> bool' AS signature, p_type AS docstring, 'python' AS lang, 'Box.' || n AS qualname, 0 AS seq FROM f
+UNION ALL SELECT 'inner', file, 9, '(a, /, b=''x'', *, c)', '', 'python', 'Box.' || n || '.inner', 1 FROM f UNION ALL SELECT 'last', file, 11, '(self)', '', 'python', 'Box.last', 2 FROM f"""
+
+
+def parse_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of TypeScript sources, one for each part: a function, an arrow, a method, and what isn't one."""
+    name = F.translate("p_name", " ", "_")
+    body = F.concat(
+        F.lit("// function no() {}\nexport async function "), name, F.lit("(size: number,\n  kind = '"), F.col("p_type"), F.lit("'): Promise<boolean> {\n  if (size) { call(size) }\n}\nconst "),
+        name, F.lit("_of = <T>(x: T) => x;\nclass A {\n  static get "), name, F.lit("_at(k: number): string[] { return `a ${k}` }\n}\n"),
+    )
+    held = _table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_partkey", F.lit(".TS")).alias("path"), body.alias("content"))
+    return repo.parse_sources(held)
+
+
+PARSE_SCRIPTS_SQL = """WITH f AS (SELECT p_brand || '/' || p_partkey || '.TS' AS file, replace(p_name, ' ', '_') AS n, p_type FROM part)
+SELECT n AS name, file, 2 AS line, '(size: number, kind = ''' || p_type || '''): Promise<boolean>' AS signature, '' AS docstring, 'javascript' AS lang, n AS qualname, 0 AS seq FROM f
+UNION ALL SELECT n || '_of', file, 6, '(x: T)', '', 'javascript', n || '_of', 1 FROM f UNION ALL SELECT n || '_at', file, 8, '(k: number): string[]', '', 'javascript', n || '_at', 2 FROM f"""
+
+
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of each user's events."""
     found = watch.debounce_sessions(_table(spark, sf_dir, "events"), f"{GAP_S} seconds", keys=("user_id",))
@@ -323,7 +355,7 @@ def _stat(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query by name."""
-    made = [fuzzy_ratio_names, token_set_scores, partial_ratio_docs, find_name, find_intent, find_many, find_sig, shape_parse, reference_counts, stale_candidates, stale_lang_filter, best_match_join, snapshot_diff, incremental_apply, pair_edges, dupe_clusters, semantic_topk, semantic_scores, embed_cache_misses, index_roundtrip, natural_order, stats_json, find_json, debounce_sessions, upsert_latest]
+    made = [fuzzy_ratio_names, token_set_scores, partial_ratio_docs, find_name, find_intent, find_many, find_sig, shape_parse, reference_counts, stale_candidates, stale_lang_filter, best_match_join, snapshot_diff, incremental_apply, pair_edges, dupe_clusters, semantic_topk, semantic_scores, embed_cache_misses, index_roundtrip, natural_order, stats_json, find_json, parse_python, parse_scripts, debounce_sessions, upsert_latest]
     board = {"stats_totals": stats.totals, "stats_languages": stats.languages, "stats_top_names": stats.top_names, "stats_biggest_files": stats.biggest_files, "stats_grouped_counts": stats.grouped_counts, "stats_call_out": stats.call_out, "stale_counters": lambda r: stale.counters(r, ("*_box",))}
     return {k: _stat(v) for k, v in board.items()} | {f.__name__: f for f in made}
 
@@ -349,6 +381,8 @@ def oracle_sql() -> dict[str, str]:
         "find_json": FIND_JSON_SQL,
         "stats_json": STATS_JSON_SQL,
         "shape_parse": SHAPE_SQL,
+        "parse_python": PARSE_PYTHON_SQL,
+        "parse_scripts": PARSE_SCRIPTS_SQL,
         "pair_edges": EDGES_SQL,
         "best_match_join": BEST_SQL,
         "reference_counts": MENTIONS + " SELECT file, line, token, n FROM cnt",

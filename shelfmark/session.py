@@ -32,11 +32,14 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a folder of this machine is made,
-    set, and removed again when the process ends.
+    Only where that is unset, and all runs in one process (tests, a laptop), a folder of this machine is made,
+    set, and removed again when the process ends; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shelfmark-")
         atexit.register(shutil.rmtree, path, True)
         found = f"file://{path}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -183,7 +184,10 @@ def index_path(root: str) -> str:
 
 
 def save_index(index: DataFrame, root: str) -> str:
-    """Write an index as Parquet in a new version folder, then point to it: readers never see half of one."""
+    """Write an index as Parquet in a new version folder, then point to it: readers never see half of one.
+
+    The version before stays for those that read it; older ones are removed.
+    """
     base = index_path(root)
     old = _pointer(root)
     version = (old["version"] if old else 0) + 1
@@ -191,6 +195,9 @@ def save_index(index: DataFrame, root: str) -> str:
     with open(os.path.join(base, "current.tmp"), "w", encoding="utf-8") as f:
         json.dump({"schema_version": SCHEMA_VERSION, "tool_version": __version__, "version": version}, f)
     os.replace(os.path.join(base, "current.tmp"), os.path.join(base, "current.json"))
+    for name in os.listdir(base):
+        if name[:1] == "v" and name[1:].isdigit() and int(name[1:]) < version - 1:
+            shutil.rmtree(os.path.join(base, name), ignore_errors=True)
     return base
 
 

@@ -129,6 +129,7 @@ class WatchStats:
     added: int = 0
     dropped: int = 0
     started: float = field(default_factory=time.monotonic)
+    clock: Callable[[], float] = time.monotonic
 
     @property
     def net_records(self) -> int:
@@ -137,7 +138,7 @@ class WatchStats:
 
     def summary(self) -> str:
         """One line on the session."""
-        return f"{self.passes} passes, {self.files} files, +{self.added} -{self.dropped} records ({self.net_records:+d}) in {time.monotonic() - self.started:.0f} s"
+        return f"{self.passes} passes, {self.files} files, +{self.added} -{self.dropped} records ({self.net_records:+d}) in {self.clock() - self.started:.0f} s"
 
 
 def reindex(spark: SparkSession, root: str, changes: DataFrame, stats: WatchStats, log: Callable[[str], None] | None = None) -> None:
@@ -159,22 +160,22 @@ def reindex(spark: SparkSession, root: str, changes: DataFrame, stats: WatchStat
         log(f"reindexed: {', '.join(f'{n} {op}' for op, n in sorted(counts.items()))}; +{moved['added']} -{moved['dropped']} records")
 
 
-def watch(spark: SparkSession, root: str, interval: float = INTERVAL, debounce: float = DEBOUNCE, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] | None = None, log: Callable[[str], None] | None = None) -> WatchStats:
-    """Poll a tree until ``stop`` says so or Ctrl-C: after a change wait for two equal listings, then apply the whole burst at once."""
+def watch(spark: SparkSession, root: str, interval: float = INTERVAL, debounce: float = DEBOUNCE, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] | None = None, log: Callable[[str], None] | None = None, now: Callable[[], float] = time.monotonic) -> WatchStats:
+    """Poll a tree until ``stop`` says so or Ctrl-C, timed by ``now``: after a change wait for two equal listings, then apply the whole burst at once."""
     repo.load_or_build(spark, root)
-    stats, old, stop = WatchStats(), listing(root), stop or (lambda: False)
+    stats, old, stop = WatchStats(started=now(), clock=now), listing(root), stop or (lambda: False)
     try:
         while not stop():
             sleep(interval)
-            now = listing(root)
-            while now != old:
+            new = listing(root)
+            while new != old:
                 sleep(debounce)
                 again = listing(root)
-                if again == now or stop():
-                    now = again
+                if again == new or stop():
+                    new = again
                     break
-                now = again
-            d = compare(old, now)
+                new = again
+            d = compare(old, new)
             if d:
                 rows = []
                 for op, paths in (("created", d.created), ("modified", d.modified), ("removed", d.removed)):
@@ -188,7 +189,7 @@ def watch(spark: SparkSession, root: str, interval: float = INTERVAL, debounce:
                                 pass
                         rows.append((p, text, op))
                 reindex(spark, root, spark.createDataFrame(rows, f"{SOURCE}, op string"), stats, log)
-            old = now
+            old = new
     except KeyboardInterrupt:
         pass
     return stats
