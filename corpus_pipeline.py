@@ -69,7 +69,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("quality rules", quality), ("near duplicates", near_duplicates), ("PII", personal_data), ("packing", packs)]
 
-#: None of the stages can be expressed in SQL; tests hold the pipeline against a brute-force version.
+#: SQL can't express the stages; tests hold each operator, and the stages one after another, against brute force.
 ORACLE_SQL = None
 
 
