@@ -103,10 +103,26 @@ def test_linkage_of_profiles_equals_that_of_records():
         assert [m for m, _ in got] == [m for m, _ in want] and all(abs(a[1] - b[1]) < 0.011 for a, b in zip(got, want, strict=True))
 
 
+def written_out(rows):
+    """All pairs of records that follow from the rows of ``class_edges``."""
+    home = {r["i"]: r["j"] for r in rows if r["score"] is None}
+    score = {(r["i"], r["j"]): r["score"] for r in rows if r["score"] is not None}
+    return {(i, j): score[home[i], home[j]] for i in home for j in home if i < j and (home[i], home[j]) in score}
+
+
+def test_copies_are_not_written_out_as_pairs(spark):
+    rows = [("load", "m.py", k, "(a: int)" if k % 3 else "(a: str, *more) -> int", "Load it.") for k in range(200)]
+    got = dupes.class_edges(with_ordinal(records(spark, rows))).collect()
+    want = {(i, j): s for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and (s := pair_py(a, b)) >= 75.0}
+    pairs = written_out(got)
+    assert len(got) <= 204 and pairs.keys() == want.keys() and len(want) > 10_000 and all(abs(pairs[k] - want[k]) < 0.011 for k in want)
+
+
 def test_duplicate_queries_have_every_record(spark):
     held = with_ordinal(queries.inventory(spark, "/root/testdata/sf0.001")).collect()
     key = {r["ord"]: (r["name"], r["docstring"], r["signature"]) for r in held}
-    edges = {(r["i"], r["j"]): r["score"] for r in queries.pair_edges(spark, "/root/testdata/sf0.001").collect()}
+    edges = written_out(queries.pair_edges(spark, "/root/testdata/sf0.001").collect())
+    assert edges == {(r["i"], r["j"]): r["score"] for r in dupes.pair_edges(with_ordinal(queries.inventory(spark, "/root/testdata/sf0.001"))).collect()}
     same = {(i, j) for i in key for j in key if i < j and key[i] == key[j]}
     assert same and same <= edges.keys()
     want = sorted(len(m) for m, _ in dupes.greedy_linkage([(s, i, j) for (i, j), s in edges.items()]))
