@@ -125,8 +125,42 @@ def test_duplicate_queries_have_every_record(spark):
     assert edges == {(r["i"], r["j"]): r["score"] for r in dupes.pair_edges(with_ordinal(queries.inventory(spark, "/root/testdata/sf0.001"))).collect()}
     same = {(i, j) for i in key for j in key if i < j and key[i] == key[j]}
     assert same and same <= edges.keys()
-    want = sorted(len(m) for m, _ in dupes.greedy_linkage([(s, i, j) for (i, j), s in edges.items()]))
-    assert sorted(r["size"] for r in queries.dupe_clusters(spark, "/root/testdata/sf0.001").collect()) == want
+    want = {(held[i]["file"], held[i]["line"]): (m[0], s, len(m)) for m, s in dupes.greedy_linkage([(s, i, j) for (i, j), s in edges.items()]) for i in m}
+    got = {(r["file"], r["line"]): (r["cluster"], r["score"], r["size"]) for r in queries.dupe_clusters(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys() and all(g[0] == w[0] and abs(g[1] - w[1]) < 0.011 and g[2] == w[2] for g, w in zip(got.values(), map(want.get, got), strict=True))
+
+
+def test_linkage_of_classes_equals_that_of_records():
+    for seed in range(400):
+        r = random.Random(seed)
+        kinds = r.randrange(2, 9)
+        profile = [r.randrange(kinds) for _ in range(r.randrange(2, 40))]
+        own = {}
+        for i, p in enumerate(profile):
+            own.setdefault(p, []).append(i)
+        first = {p: m[0] for p, m in own.items()}
+        score = {(p, q): r.choice((75.5, 90.0, 100.0)) for p in range(kinds) for q in range(p) if r.random() < 0.6}
+        score |= {(q, p): s for (p, q), s in score.items()} | {(p, p): 100.0 for p in range(kinds)}
+        want = dupes.greedy_linkage([(score[profile[i], profile[j]], i, j) for i in range(len(profile)) for j in range(i + 1, len(profile)) if (profile[i], profile[j]) in score])
+        links = {(first[p], first[q]): s for (p, q), s in score.items() if p in own and q in own and first[p] < first[q]}
+        found = dupes.class_linkage({m[0]: len(m) for m in own.values()}, {m[0]: m[1] for m in own.values() if len(m) > 1}, links)
+        got = {tuple(sorted(i for c in m for i in own[profile[c]])): s for m, s in found}
+        assert got.keys() == {tuple(m) for m, _ in want} and all(abs(got[tuple(m)] - s) < 0.011 for m, s in want)
+
+
+def test_clusters_of_many_copies_are_linked_by_class(spark, monkeypatch):
+    rows = [(f"load_{'ab'[k % 2]}_file", "m.py", k, "(a: int) -> int", "Load it.") for k in range(300)]
+    rows += [("save", "s.py", k, "(a: int)" if k % 3 else "(a: str, *more) -> int", "Save it.") for k in range(30)]
+    asked = []
+    monkeypatch.setattr(dupes, "written", lambda df, name, keep=dupes.written: asked.append((name, out := keep(df, name))) or out)
+    found = dupes.assign_clusters(with_ordinal(records(spark, rows))).collect()
+    clusters = {}
+    for r in found:
+        clusters.setdefault(r["cluster"], []).append(r["node"])
+    edges = [(s, i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and (s := pair_py(a, b)) >= 75.0]
+    assert sorted(sorted(m) for m in clusters.values()) == sorted(m for m, _ in dupes.greedy_linkage(edges))
+    by_class = next(df for name, df in asked if name == "class-clusters")
+    assert sorted(r["node"] for r in by_class.collect()) == [0, 1]
 
 
 def test_search_against_brute_force(spark):
