@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.globs import any_glob
+from shelfmark.session import spread, written
 
 DEFAULT_IGNORE = ("__*__", "main", "test_*", "setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModule", "tearDownModule")
 #: Where Python's splitlines cuts.
@@ -13,18 +14,15 @@ LINES = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 TOKEN = r"(?U)\w+"
 #: Runs of word characters and '$' that have a '$'.
 DOLLAR = r"(?U)[\w$]*\$[\w$]*"
+#: So many bytes of names are broadcast at the most.
+HELD = 8 << 20
 
 
 def lines(sources: DataFrame) -> DataFrame:
     """Sources (file, content) as numbered lines: file, line, text. No line follows a final line end."""
-    cut = F.split("content", LINES)
-    return sources.select("file", F.posexplode(cut).alias("at", "text"), F.size(cut).alias("n")).where("NOT (at = n - 1 AND text = '')").select("file", (F.col("at") + 1).alias("line"), "text")
-
-
-def _spread(sources: DataFrame) -> DataFrame:
-    """Sources dealt over all tasks where their scan has fewer splits than there are cores."""
-    cores = sources.sparkSession.sparkContext.defaultParallelism
-    return sources.repartition(cores * 2) if sources.rdd.getNumPartitions() < cores else sources
+    # the last line end goes before the cut: a line that had the whole text beside it, to know its count, would cost as much as the text
+    ended = F.regexp_replace("content", rf"(?:{LINES})\z", "")
+    return sources.where("content <> ''").select("file", F.posexplode(F.split(ended, LINES)).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def reference_counts(names: DataFrame, sources: DataFrame) -> DataFrame:
@@ -32,14 +30,22 @@ def reference_counts(names: DataFrame, sources: DataFrame) -> DataFrame:
 
     Words are cut out of each line and joined with the names, so the cost is that of the bytes and not
     of bytes times names. A name with '$' is looked for in the runs that have its first word (or, of a
-    name of '$' alone, any '$'), where \\b holds at both of its ends.
+    name of '$' alone, any '$'), where \\b holds at both of its ends. Names of up to ``HELD`` bytes go to every
+    task, so that other words are not shuffled.
     """
-    wanted = names.select("name").where("name <> ''").distinct()
+    wanted = written(names.select("name").where("name <> ''").distinct(), "names")
     plain, odd = wanted.where(~F.col("name").contains("$")), wanted.where(F.col("name").contains("$"))
-    text = lines(_spread(sources))
+    if (wanted.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0) <= HELD:
+        plain = F.broadcast(plain)
+    dealt = spread(sources, "file")
+    text = lines(dealt)
     tokens = text.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("token"))
     found = tokens.join(plain.withColumnRenamed("name", "token"), "token", "left_semi")
     counted = found.groupBy("file", "line", "token").agg(F.count("*").alias("n"))
+    counted = counted.select("file", "line", "token", "n")
+    if odd.isEmpty():
+        return counted
+    text = lines(dealt.where(F.col("content").contains("$")))
     # \b beside '$' needs a word character on its other side, or none beside a word character
     pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("name"), F.lit(r"\E\b"))
     key = F.coalesce(F.nullif(F.regexp_extract("name", TOKEN, 0), F.lit("")), F.lit("$"))
@@ -47,12 +53,12 @@ def reference_counts(names: DataFrame, sources: DataFrame) -> DataFrame:
     held = text.where(F.col("text").contains("$")).select("file", "line", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("$")), F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(TOKEN), F.lit(0))))))).alias("key"))
     odd_hits = held.join(odd.withColumn("key", key), "key").where(F.col("text").contains(F.col("name")))
     odd_counts = odd_hits.select("file", "line", F.col("name").alias("token"), F.regexp_count("text", pattern).cast("bigint").alias("n")).where("n > 0")
-    return counted.select("file", "line", "token", "n").unionByName(odd_counts)
+    return counted.unionByName(odd_counts)
 
 
 def with_references(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Records with total (mentions anywhere), own (on their own line) and references, the rest."""
-    counts = reference_counts(records, sources)
+    counts = written(reference_counts(records, sources), "mentions")  # read twice, made once
     total = counts.groupBy(F.col("token").alias("name")).agg(F.sum("n").alias("total"))
     own = counts.groupBy("file", "line", F.col("token").alias("name")).agg(F.sum("n").alias("own"))
     joined = records.join(total, "name", "left").join(own, ["file", "line", "name"], "left")

@@ -67,6 +67,27 @@ def test_mentions_of_names_with_dollars(spark):
     assert got == want and len(want) > 8
 
 
+def test_lines_are_cut_in_linear_time(spark):
+    bodies = ["", "\n", "a", "a\n", "a\r\n", "\r\n\r\n", "a\n\nb\u2028", "a\x1cb\n\n", "\n\r", "a\x85\r"]
+    got = {}
+    for r in stale.lines(spark.createDataFrame(list(enumerate(bodies)), "file int, content string")).collect():
+        got.setdefault(r["file"], []).append((r["line"], r["text"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(b.splitlines(), 1)) for k, b in enumerate(bodies) if b}
+    start = time.time()
+    assert stale.lines(spark.range(1).select(F.lit("f").alias("file"), F.repeat(F.lit("a line of some words\n"), 60_000).alias("content"))).count() == 60_000
+    whole = stale.lines(spark.range(1).select(F.lit("f").alias("file"), F.repeat(F.lit("a line of some words\n"), 60_000).alias("content")))
+    assert whole.agg(F.sum(F.length("text"))).first()[0] == 60_000 * 20 and time.time() - start < 30
+
+
+def test_names_beyond_the_broadcast_are_counted_alike(spark, monkeypatch):
+    names = spark.createDataFrame([("a",), ("b$",), ("cd",)], "name string")
+    sources = spark.createDataFrame([("f", "a cd\ncd b$x a a\n"), ("g", "no")], "file string, content string")
+    few = sorted(stale.reference_counts(names, sources).collect())
+    monkeypatch.setattr(stale, "HELD", 0)
+    assert few == sorted(stale.reference_counts(names, sources).collect()) and len(few) == 5
+    assert [r["n"] for r in few] == [1, 1, 2, 1, 1]
+
+
 def test_scripts_are_scanned_in_linear_time_and_never_fail():
     body = "class A {\n static async load<T>(url: string, n = 3): Promise<T> {\n return get(url) }\n}\nexport const add = (a, b) => a + b;\nlet one = x => x;\nfunction* gen(a /* c */) { if (a) { call(a) } }\nconst s = 'function no() {}';\n"
     assert [(r[0], r[2], r[3]) for r in script_functions.parse(body, "a.ts")] == [("load", 2, "(url: string, n = 3): Promise<T>"), ("add", 5, "(a, b)"), ("one", 6, "(x)"), ("gen", 7, "(a /* c */)")]
