@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from shelfmark import __version__
 from shelfmark.functions.globs import IgnoreRules
 from shelfmark.schema import FIELDS, RECORD, SCHEMA_VERSION, records
+from shelfmark.session import spread
 from shelfmark.sources import python_functions, script_functions
 
 INDEX_DIR = ".shelfmark"
@@ -157,7 +158,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sources(held: DataFrame) -> DataFrame:
-    """The records of sources (path, content); files without a parser, or unreadable, have none."""
+    """The records of sources (path, content), parsed on all cores; files without a parser, or unreadable, have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in RECORD]
@@ -170,7 +171,7 @@ def parse_sources(held: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("line", "seq") else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
 
-    return held.where(has_parser(F.col("path"))).select("path", "content").mapInArrow(run, RECORD)
+    return spread(held.where(has_parser(F.col("path"))).select("path", "content"), "path").mapInArrow(run, RECORD)
 
 
 def build_index(spark: SparkSession, root: str) -> DataFrame:

@@ -67,6 +67,12 @@ def test_mentions_of_names_with_dollars(spark):
     assert got == want and len(want) > 8
 
 
+def test_sources_of_one_split_are_parsed_on_all_cores(spark):
+    held = spark.createDataFrame([(f"f{k}.py", f"def f{k}(): pass\n") for k in range(500)], "path string, content string").coalesce(1)
+    found = repo.parse_sources(held).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["name"] for r in found) == sorted(f"f{k}" for k in range(500)) and len({r["task"] for r in found}) >= 8
+
+
 def test_lines_are_cut_in_linear_time(spark):
     bodies = ["", "\n", "a", "a\n", "a\r\n", "\r\n\r\n", "a\n\nb\u2028", "a\x1cb\n\n", "\n\r", "a\x85\r"]
     got = {}
